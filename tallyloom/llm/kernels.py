@@ -8,6 +8,8 @@ temporaries that grow with it beyond a few bytes a word.
 from __future__ import annotations
 
 import sys
+from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -202,3 +204,51 @@ def earlier(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), dtype=bool)
     out[order[1:][key[1:] == key[:-1]]] = True
     return out
+
+
+class Memo:
+    """Ids of what was solved before, by hash: at most limit solutions, then it starts anew. Sorted arrays take a tenth of a dict's memory."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        self.data, self.first, self.scores = bytearray(), array("q", [0]), array("q")
+
+    def places(self, distinct: np.ndarray, solve) -> np.ndarray:
+        """Numbers of the solutions of distinct, sorted hashes; solve(i) gives (ids as packed 32-bit numbers, score) of the i-th."""
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        new = np.flatnonzero(new)
+        if len(new):
+            if len(self.keys) and len(self.keys) + len(new) > self.limit:
+                self.clear()
+                return self.places(distinct, solve)
+            number = len(self.scores)
+            for i in new.tolist():
+                ids, score = solve(i)
+                self.data += ids
+                self.first.append(len(self.data) // 4)
+                self.scores.append(score)
+            self.keys = np.insert(self.keys, at[new], distinct[new])
+            self.place = np.insert(self.place, at[new], np.arange(number, number + len(new)))
+            at = np.searchsorted(self.keys, distinct)
+        return self.place[at]
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the solutions, one after the other, number of ids of each)."""
+        first = np.array(self.first)
+        size = first[place + 1] - first[place]
+        return np.array(np.frombuffer(self.data, dtype=np.uint32))[ragged(first[place], size)], size
+
+
+def per_worker(key: tuple, make):
+    """What make() returned first in this Python process, which runs many tasks."""
+    held = sys.modules.setdefault("_tallyloom_worker", ModuleType("_tallyloom_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -7,7 +7,8 @@ a row of a Parquet table, so that any store Spark writes to will do, and Spark's
 commit protocol makes a lost executor harmless. export() writes them as files.
 
 A token never spans white space, so that each distinct word between white space
-is encoded once per task and its ids are then copied.
+is encoded once in a worker, as long as that remembers it, and its ids are
+then copied.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 END_ID = 2
 #: Ids of a shard at most, unless one document alone has more.
 SHARD_IDS = 1 << 21
-#: Words whose ids a task remembers at most; it then starts anew.
-REMEMBERED = 600_000
+#: Words, and parts of words, whose ids a worker remembers at most; it then starts anew.
+REMEMBERED, PARTS = 2_500_000, 300_000
 HEAD = "<4sBQQQqQQ"
 SHARDS = "part int, before long, n_docs long, n_tokens long, payload binary"
 
@@ -64,21 +66,19 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.hasher = K.Hasher("space", lower=False, seed=3)
-        self.of_part: dict[str, list[int]] = {}
-        self.forget()
+        self.of_part: dict[str, bytes] = {}
+        self.memo = K.Memo(REMEMBERED)
 
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.of_part.clear()
-        self.ids, self.first = [], [0]
-
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         if not self.plain.fullmatch(word) or any(s in word for s in self.specials):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out = b""
         for part in self.parts.findall(word.lower()):
             if (ids := self.of_part.get(part)) is None:
-                ids = self.of_part[part] = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))]
+                shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                if len(self.of_part) >= PARTS:
+                    self.of_part.clear()
+                ids = self.of_part[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             out += ids
         return out
 
@@ -86,22 +86,10 @@ class WordEncoder:
         """(ids of all texts one after the other, number of ids of each)."""
         starts, ends, h, first = self.hasher.words(data, offsets)
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        place = np.empty(len(distinct), dtype=np.int64)
-        known = self.known
-        for i, key in enumerate(distinct.tolist()):
-            if (k := known.get(key)) is None:
-                j = at[i]
-                k = known[key] = len(self.first) - 1
-                self.ids.extend(self.word(data[starts[j] : ends[j]].tobytes().decode()))
-                self.first.append(len(self.ids))
-            place[i] = k
-        bound, ids = np.array(self.first), np.array(self.ids, dtype=np.uint32)
-        place = place[back.ravel()]
-        size = bound[place + 1] - bound[place]
+        place = self.memo.places(distinct, lambda i: (self.word(data[starts[at[i]] : ends[at[i]]].tobytes().decode()), 0))
+        ids, size = self.memo.gather(place[back.ravel()])
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids[K.ragged(bound[place], size)], np.diff(total[first])
+        return ids, np.diff(total[first])
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, width: int) -> bytes:
@@ -138,7 +126,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     blob = spark.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(blob.value)
+        encoder = K.per_worker(("words", hash(blob.value)), lambda: WordEncoder(blob.value))
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         part, before = TaskContext.get().partitionId(), 0
         names, ids, counts, held = [], [], [], 0
