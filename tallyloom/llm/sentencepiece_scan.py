@@ -23,6 +23,7 @@ makes decoding exact.
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of a chunk; chunks of a run.
 CHUNK, RUN = 1 << 16, 128
-REMEMBERED = 600_000
+REMEMBERED = 2_500_000
 #: The blank of pieces; what stands for a U+2581 of the text, which no UTF-8 text has.
 SPACE, LITERAL = "\u2581", "\udc00"
 NONE = -(1 << 60)
@@ -144,11 +145,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.power = K._splitmix(1, 77)[0]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.first, self.scores = [], [0], []
+        self.memo = K.Memo(REMEMBERED)
 
     def units(self, escaped: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(numbers of the units of all texts, as known; bounds of each text's; their scores)."""
@@ -168,27 +165,20 @@ class Encoder:
         h = K.mix(codes.astype(np.uint64) * self.power + place.astype(np.uint64) * K.U64(0x9E3779B97F4A7C15))
         h = K.mix(np.add.reduceat(h, start) + size.astype(np.uint64))
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        number = np.empty(len(distinct), dtype=np.int64)
-        for i, key in enumerate(distinct.tolist()):
-            if (k := self.known.get(key)) is None:
-                j = at[i]
-                score, ids = self.pieces.best(joined[start[j] : start[j] + size[j]])
-                k = self.known[key] = len(self.scores)
-                self.ids.extend(ids)
-                self.first.append(len(self.ids))
-                self.scores.append(score)
-            number[i] = k
-        number = number[back.ravel()]
-        return number, np.searchsorted(start, np.concatenate([[0], ends])), np.array(self.scores)[number]
+
+        def solve(i: int) -> tuple[bytes, int]:
+            j = at[i]
+            score, ids = self.pieces.best(joined[start[j] : start[j] + size[j]])
+            return array("I", ids).tobytes(), score
+
+        number = self.memo.places(distinct, solve)[back.ravel()]
+        return number, np.searchsorted(start, np.concatenate([[0], ends])), np.array(self.memo.scores)[number]
 
     def encode(self, escaped: list[str]) -> list[np.ndarray]:
         number, first, _ = self.units(escaped)
-        bound, ids = np.array(self.first), np.array(self.ids, dtype=np.uint32)
-        size = bound[number + 1] - bound[number]
+        ids, size = self.memo.gather(number)
         total = np.concatenate([[0], np.cumsum(size)])
-        return np.split(ids[K.ragged(bound[number], size)], total[first][1:-1])
+        return np.split(ids, total[first][1:-1])
 
     def matrix(self, text: str, look: str) -> np.ndarray:
         """From the states at the chunk's first border to those at its last."""
@@ -349,13 +339,14 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     longest = pieces.value.longest
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces.value)
+        encoder = K.per_worker(("pieces", model, pieces.rows.value[-1]), lambda: Encoder(pieces.value))
+        own = encoder.pieces
         for b in batches:
             _, offsets = K.column(b.column(1))
             for lo, hi in K.spans(offsets, K.SLICE):
                 texts = [x or "" for x in b.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = encoder.encode([escape(" " + x) if x else "" for x in texts])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([pieces.value.decode(x) for x in ids], pa.string())], ["doc_id", "text", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
