@@ -11,8 +11,8 @@ more than 31 of 64 differ once in about 10^5 such pairs.
 Documents that share a key are neighbours in the index. They are clustered
 around the neighbour they share most keys with, clusters are cut into blocks of
 bounded size, and a block's members are compared with one another, then with
-documents of other blocks that share a key with a member, unless they are
-connected already. Signatures choose the pairs; the sets of whole texts
+documents of other blocks that share a key with a member and have a signature
+within the distance, unless they are connected already. Signatures choose the pairs; the sets of whole texts
 confirm them. Only links that join two components leave a block, so a group of
 n near copies yields about n rows and never n * n.
 """
@@ -40,6 +40,8 @@ WORDS, PLACES, CHUNK = 5, 64, 4
 DISTANCE = 2 * (PLACES // CHUNK) - 1
 #: Members and shingles of a block at most, unless one member alone has more.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Documents of one key that are compared in one group.
+TILE = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +209,55 @@ def block_links(rows: DataFrame, within: bool, percent: int) -> DataFrame:
     return rows.select("block", "asks", "node", "grp", "sig", "text").repartition("block").sortWithinPartitions("block", "asks", "node").mapInArrow(run, "u long, v long")
 
 
+def neighbours(at: DataFrame) -> DataFrame:
+    """(node, block): who has to ask in which later block, from rows (key, tiles, node, block, grp, sig).
+
+    Signatures of documents that share a key and aren't connected are compared
+    here. A key with many documents is cut into tiles, and tiles meet in pairs,
+    each pair in a group of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(group: np.ndarray, tile: np.ndarray, cross: np.ndarray, node: np.ndarray, block: np.ndarray, grp: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.concatenate([first, [len(group)]]))
+            for n in np.unique(size[size > 1]).tolist():
+                starts = first[size == n]
+                i, j = np.triu_indices(n, 1)
+                step = max(1, (1 << 17) // len(i))
+                for lo in range(0, len(starts), step):
+                    for part in range(0, len(i), 1 << 17):
+                        a = (starts[lo : lo + step, None] + i[part : part + (1 << 17)]).ravel()
+                        b = (starts[lo : lo + step, None] + j[part : part + (1 << 17)]).ravel()
+                        use = (grp[a] != grp[b]) & (block[a] != block[b]) & ((cross[a] == 0) | (tile[a] != tile[b]))
+                        a, b = a[use], b[use]
+                        near = (sig[a] != sig[b]).sum(axis=1) <= DISTANCE
+                        a, b = a[near], b[near]
+                        if len(a):
+                            a, b = np.where(block[a] < block[b], a, b), np.where(block[a] < block[b], b, a)
+                            pairs = np.unique(np.stack([node[a], block[b]], axis=1), axis=0)
+                            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "block"])
+
+        rest = None
+        for b in batches:
+            raw, offsets = K.column(b.column(6))
+            now = [np.asarray(b.column(k)) for k in range(6)] + [raw[offsets[0] : offsets[-1]].view(np.uint8).reshape(-1, 2 * PLACES).copy().view(np.uint16)]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1], "left")) if now[0][0] <= now[0][-1] else len(now[0])
+            if cut:
+                yield from compared(*[x[:cut] for x in now])
+            rest = [x[cut:] for x in now]
+        if rest is not None and len(rest[0]):
+            yield from compared(*rest)
+
+    own = F.pmod("node", "tiles")
+    rows = at.withColumn("tile", own).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1L)")))
+    group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    rows = rows.select(group.alias("group"), "tile", (F.col("tile") != F.col("other")).cast("int").alias("cross"), "node", "block", "grp", "sig")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "node long, block long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -239,10 +290,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     inner = written(inner, "links")
     joined = components(inner)
     grouped = written(placed.select("node", "block").join(joined, "node", "left").select("node", "block", F.coalesce("component", "node").alias("grp")), "grouped")
-    # whoever shares a key with a member of a later block asks there, unless that block is all of its own component
-    at = members.select("key", "node").join(grouped, "node")
-    there = at.groupBy("key", "block").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).withColumnRenamed("block", "there")
-    questions = at.join(there, "key").where("block < there and not (lo = hi and lo = grp)").select("node", F.col("there").alias("block"), "grp").distinct()
+    several = members.select("key", "node").join(grouped.select("node", "grp"), "node").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / TILE).alias("tiles")).where("lo <> hi").select("key", "tiles")
+    at = members.select("key", "node").join(several, "key").join(grouped, "node").join(nodes.select("node", "sig"), "node")
+    questions = written(neighbours(at).distinct().join(grouped.select("node", "grp"), "node"), "questions")
     asking = questions.join(members_text.select("node", "sig", "text"), "node").select("block", asks(True), "node", "grp", "sig", "text")
     asked = questions.select("block").distinct().join(members_text.join(grouped.select("node", "grp"), "node"), "block").select("block", asks(False), "node", "grp", "sig", "text")
     outer = block_links(asked.union(asking), False, percent)
