@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core
+from . import core, graphs, relational, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (core,)
+MODULES = (core, textual, relational, graphs)
 FLAGSHIP: Query = core.customers_by_nation_decade
 
 

@@ -1 +1,55 @@
-"""."""
+"""Scans and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def notes(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, raw, fields, body) of a folder of markdown notes; index files are left out."""
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    return raw.where(~F.lower("file").isin("index.md", "readme.md")).select("file", "raw", T.front_matter(F.col("raw")).alias("fields"), T.body(F.col("raw")).alias("body"))
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, wrappers: tuple[str, ...] = ("people", "profiles")) -> DataFrame:
+    """Rows of a JSON file that is an array, or an object with the array under one of the wrappers; a file without rows is an error."""
+    raw = spark.read.text(path, wholetext=True)
+    array = f"array<struct<{schema}>>"
+    wrapped = F.from_json("value", f"struct<{', '.join(f'{w}: {array}' for w in wrappers)}>")
+    rows = raw.select(F.coalesce(*[wrapped[w] for w in wrappers], F.from_json("value", array)).alias("rows")).select(F.inline("rows"))
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    return rows
+
+
+def sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """(loc, lastmod) of a folder of sitemap files, each place once."""
+    raw = spark.read.text(path, wholetext=True)
+    urls = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))).alias("u"))
+    get = lambda tag: F.trim(F.regexp_extract("u", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return urls.select(get("loc").alias("loc"), F.try_to_timestamp(F.nullif(get("lastmod"), F.lit(""))).alias("lastmod")).groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, sha256, md5, size) of binary files."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return raw.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.col("length").alias("size"))
+
+
+def first_of(*sources: DataFrame) -> DataFrame:
+    """The first source that has rows; none is an error, so that a check never passes blind."""
+    for s in sources:
+        if not s.isEmpty():
+            return s
+    raise ValueError("no source has rows")
+
+
+def write(df: DataFrame, path: str, apply: bool = False, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> int:
+    """Rows written and found again, or with apply=False those that would be."""
+    if not apply:
+        return df.count()
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path).count()
