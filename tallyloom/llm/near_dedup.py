@@ -87,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): for each chunk of a signature, the keys with one of its places left out."""
+    """(key, left_out, node): for each chunk of a signature, the keys with one of its places left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,9 +103,9 @@ def index_keys(nodes: DataFrame) -> DataFrame:
                         if j != k:
                             v = K.mix(v * K.U64(0x9E3779B97F4A7C15) + sig[:, j])
                     keys[:, k] = v
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part, PLACES))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(PLACES, dtype=np.int32), len(part))), pa.array(np.repeat(part, PLACES))], ["key", "left_out", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, left_out int, node long")
 
 
 class _Block:
@@ -210,15 +210,16 @@ def block_links(rows: DataFrame, within: bool, percent: int) -> DataFrame:
 
 
 def neighbours(at: DataFrame) -> DataFrame:
-    """(node, block): who has to ask in which later block, from rows (key, tiles, node, block, grp, sig).
+    """(node, block): who has to ask in which later block, from rows (key, left_out, tiles, node, block, grp, sig).
 
     Signatures of documents that share a key and aren't connected are compared
-    here. A key with many documents is cut into tiles, and tiles meet in pairs,
-    each pair in a group of its own.
+    here, under the first of the keys that they share only. A key with many
+    documents is cut into tiles, and tiles meet in pairs, each pair in a group
+    of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(group: np.ndarray, tile: np.ndarray, cross: np.ndarray, node: np.ndarray, block: np.ndarray, grp: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def compared(group: np.ndarray, tile: np.ndarray, cross: np.ndarray, left_out: np.ndarray, node: np.ndarray, block: np.ndarray, grp: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             size = np.diff(np.concatenate([first, [len(group)]]))
             for n in np.unique(size[size > 1]).tolist():
@@ -231,30 +232,42 @@ def neighbours(at: DataFrame) -> DataFrame:
                         b = (starts[lo : lo + step, None] + j[part : part + (1 << 17)]).ravel()
                         use = (grp[a] != grp[b]) & (block[a] != block[b]) & ((cross[a] == 0) | (tile[a] != tile[b]))
                         a, b = a[use], b[use]
-                        near = (sig[a] != sig[b]).sum(axis=1) <= DISTANCE
-                        a, b = a[near], b[near]
-                        if len(a):
-                            a, b = np.where(block[a] < block[b], a, b), np.where(block[a] < block[b], b, a)
-                            pairs = np.unique(np.stack([node[a], block[b]], axis=1), axis=0)
-                            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "block"])
+                        same = sig[a] == sig[b]
+                        near = (~same).sum(axis=1) <= DISTANCE
+                        a, b, same = a[near], b[near], same[near].reshape(-1, PLACES // CHUNK, CHUNK)
+                        if not len(a):
+                            continue
+                        alike = same.sum(axis=2)
+                        chunk = (alike >= CHUNK - 1).argmax(axis=1)
+                        pick = np.arange(len(a))
+                        key = chunk * CHUNK + np.where(alike[pick, chunk] == CHUNK, 0, same[pick, chunk].argmin(axis=1))
+                        own = key == left_out[a]
+                        a, b = a[own], b[own]
+                        a, b = np.where(block[a] < block[b], a, b), np.where(block[a] < block[b], b, a)
+                        yield np.unique(np.stack([node[a], block[b]], axis=1), axis=0)
+
+        def told(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if pairs:
+                all_ = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], ["node", "block"])
 
         rest = None
         for b in batches:
-            raw, offsets = K.column(b.column(6))
-            now = [np.asarray(b.column(k)) for k in range(6)] + [raw[offsets[0] : offsets[-1]].view(np.uint8).reshape(-1, 2 * PLACES).copy().view(np.uint16)]
+            raw, offsets = K.column(b.column(7))
+            now = [np.asarray(b.column(k)) for k in range(7)] + [raw[offsets[0] : offsets[-1]].view(np.uint8).reshape(-1, 2 * PLACES).copy().view(np.uint16)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if now[0][0] <= now[0][-1] else len(now[0])
             if cut:
-                yield from compared(*[x[:cut] for x in now])
+                yield from told(list(compared(*[x[:cut] for x in now])))
             rest = [x[cut:] for x in now]
         if rest is not None and len(rest[0]):
-            yield from compared(*rest)
+            yield from told(list(compared(*rest)))
 
     own = F.pmod("node", "tiles")
     rows = at.withColumn("tile", own).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1L)")))
     group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    rows = rows.select(group.alias("group"), "tile", (F.col("tile") != F.col("other")).cast("int").alias("cross"), "node", "block", "grp", "sig")
+    rows = rows.select(group.alias("group"), "tile", (F.col("tile") != F.col("other")).cast("int").alias("cross"), "left_out", "node", "block", "grp", "sig")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "node long, block long")
 
 
@@ -291,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     joined = components(inner)
     grouped = written(placed.select("node", "block").join(joined, "node", "left").select("node", "block", F.coalesce("component", "node").alias("grp")), "grouped")
     several = members.select("key", "node").join(grouped.select("node", "grp"), "node").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / TILE).alias("tiles")).where("lo <> hi").select("key", "tiles")
-    at = members.select("key", "node").join(several, "key").join(grouped, "node").join(nodes.select("node", "sig"), "node")
+    at = members.select("key", "left_out", "node").join(several, "key").join(grouped, "node").join(nodes.select("node", "sig"), "node")
     questions = written(neighbours(at).distinct().join(grouped.select("node", "grp"), "node"), "questions")
     asking = questions.join(members_text.select("node", "sig", "text"), "node").select("block", asks(True), "node", "grp", "sig", "text")
     asked = questions.select("block").distinct().join(members_text.join(grouped.select("node", "grp"), "node"), "block").select("block", asks(False), "node", "grp", "sig", "text")
