@@ -28,3 +28,48 @@ def not_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")
     return df
+
+
+def at_least(df: DataFrame, n: int, what: str) -> DataFrame:
+    """df; fewer than n rows are an error, as a gate that sees too little proves nothing."""
+    if df.limit(n).count() < n:
+        raise ValueError(f"{what} has fewer than {n} rows")
+    return df
+
+
+def shell_duplicates(rows: DataFrame, key: str, undated: Column) -> DataFrame:
+    """(key, n, n_undated): keys of which some rows are dated and some aren't."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(undated).alias("n_undated")).where("n_undated between 1 and n - 1")
+
+
+def first_hits(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str]], allowed: str | None = None) -> DataFrame:
+    """(key, line, rule): the first rule, in order, that each line of text meets; lines that match allowed are skipped."""
+    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
+    rule = F.coalesce(*[F.when(F.col("_line").rlike(pattern), F.lit(name)) for name, pattern in rules])
+    if allowed:
+        lines = lines.where(~F.col("_line").rlike(allowed))
+    return lines.select(key, (F.col("_at") + 1).cast("long").alias("line"), rule.alias("rule")).where("rule is not null")
+
+
+def undeclared(versions: DataFrame, key: str, version: str, served: DataFrame, declared: DataFrame) -> DataFrame:
+    """(key, first_version): keys of earlier versions that are neither served nor declared."""
+    gone = versions.join(served.select(key), key, "left_anti").join(declared.select(key), key, "left_anti")
+    return gone.groupBy(key).agg(F.min(version).alias("first_version"))
+
+
+def vital_status(rows: DataFrame, key: Column, is_living: Column, death_year: Column, lifespan: Column) -> DataFrame:
+    """Issues of rows whose labels and dates disagree: living with a death year, living with a closed lifespan, deceased without either and open."""
+    closed = lifespan.rlike(r"^\d{4}\s*[–-]\s*\d{4}$")
+    return united([
+        issues(rows.where(is_living & death_year.isNotNull()), "living_with_death_year", key, death_year, "high"),
+        issues(rows.where(is_living & closed), "living_with_closed_lifespan", key, lifespan, "high"),
+        issues(rows.where(~is_living & lifespan.startswith("b. ") & death_year.isNull()), "deceased_shown_as_living", key, lifespan, "medium"),
+    ])
+
+
+def quoted_urls(rows: DataFrame, key: str, text: str, known: DataFrame, known_url: str) -> DataFrame:
+    """(key, url, canonical, known): the URLs that text quotes; canonical: https, without query or fragment."""
+    urls = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s)>\"]+"), F.lit(0)))).alias("url"))
+    target = known.select(F.col(known_url).alias("_known")).distinct()
+    found = urls.join(target, urls.url == F.col("_known"), "left")
+    return found.select(key, "url", F.col("url").rlike(r"^https://[a-z0-9.-]+/[^?#]*$").alias("canonical"), F.col("_known").isNotNull().alias("known"))

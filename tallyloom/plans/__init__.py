@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, graphs, relational, textual
+from . import checks, core, graphs, relational, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (core, textual, relational, graphs)
+MODULES = (core, textual, relational, graphs, checks)
 FLAGSHIP: Query = core.customers_by_nation_decade
 
 
