@@ -117,3 +117,17 @@ def test_delta_stream_advances_only_when_accepted(spark, tmp_path):
         source = file_stream(spark, str(tmp_path / "in"), "k string, t long")
         delta_stream(source, str(tmp_path / "state"), str(tmp_path / f"check{len(seen)}"), "k", "t", lambda df, a=accept: seen.append(df.count()) or a).awaitTermination(60)
     assert seen == [2, 2, 0]
+
+
+def test_merge_with_nulls_and_ties(spark):
+    from tallyloom.operators import merge
+
+    old = spark.createDataFrame([(1, "a", "f"), (2, None, "g"), (3, "c", "h"), (4, "c", "h")], "old_id long, slug string, file string")
+    new = spark.createDataFrame([(10, "a", "x"), (20, None, "g"), (30, "c", "h")], "new_id long, slug string, file string")
+    found = merge.identity_cascade(old, new, "old_id", "new_id", [("slug", ["slug"]), ("file", ["file"])])
+    assert sorted(map(tuple, found.collect())) == [("file", 2, 20), ("slug", 1, 10)]
+    refs = spark.createDataFrame([("ann-oak-18501900",), ("bo-elm-18501900",), (None,), ("plain",)], "slug string")
+    known = spark.createDataFrame([("ann-oak-1900",), ("ann-oak",), (None,)], "known string")
+    assert sorted(map(tuple, merge.repaired_slugs(refs, "slug", known, "known").collect())) == [("ann-oak-18501900", "ann-oak-1900"), ("bo-elm-18501900", None)]
+    with pytest.raises(ValueError, match="fewer"):
+        gates.at_least(refs, 5, "refs")
