@@ -95,7 +95,7 @@ def over_budget(rows: DataFrame, key: str, text: str, most: int = 160) -> DataFr
     decoded = F.col(text)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return rows.select(key, F.length(decoded).alias("length")).where(F.col("length") > most)
+    return rows.select(key, F.length(decoded).cast("long").alias("length")).where(F.col("length") > most)
 
 
 def heading_order(pages: DataFrame, key: str, html: str) -> DataFrame:

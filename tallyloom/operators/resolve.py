@@ -44,3 +44,27 @@ def disambiguated(rows: DataFrame, name: str, key: str, hint: str) -> DataFrame:
 def survivors(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def manifest_keys(refs: DataFrame, key: str, rows: DataFrame, slug: str) -> DataFrame:
+    """(key, how, slug): a row's own slug (exact), else the one dated slug with that base (dated); several are ambiguous, none is missing."""
+    refs, rows = refs.select(key).distinct(), rows.select(F.col(slug).alias("_slug")).distinct()
+    base = F.regexp_extract("_slug", r"^(.*)-\d{4}$", 1)
+    dated = rows.select(base.alias("_base"), "_slug").where("_base <> ''").groupBy("_base").agg(F.count("*").alias("_n"), F.min("_slug").alias("_one"))
+    out = refs.join(rows, refs[key] == rows["_slug"], "left").join(dated, F.col(key) == F.col("_base"), "left")
+    how = F.when(F.col("_slug").isNotNull(), "exact").when(F.col("_n") == 1, "dated").when(F.col("_n") > 1, "ambiguous").otherwise("missing")
+    return out.select(key, how.alias("how"), F.when(how == "exact", F.col("_slug")).when(how == "dated", F.col("_one")).alias("slug"))
+
+
+def unresolved(refs: DataFrame, ref: str, context: list[str], rows: DataFrame, slug: str) -> DataFrame:
+    """(ref, contexts): references that lead to no row, each with where it stands."""
+    lost = refs.join(rows.select(F.col(slug).alias(ref)).distinct(), ref, "left_anti").where(F.col(ref).isNotNull())
+    return lost.groupBy(ref).agg(F.sort_array(F.collect_set(F.concat_ws(":", *context))).alias("contexts"))
+
+
+def kept_and_removed(rows: DataFrame, key: str, core: Column, refs: DataFrame, source: str, target: str, listed: DataFrame) -> DataFrame:
+    """(key, keep): core rows, the rows that they refer to, and listed ones are kept."""
+    inner = rows.where(core).select(key)
+    named = refs.join(inner.withColumnRenamed(key, source), source, "left_semi").select(F.col(target).alias(key))
+    keep = inner.union(named).union(listed.select(key)).distinct().withColumn("_keep", F.lit(True))
+    return rows.select(key).join(keep, key, "left").select(key, F.col("_keep").isNotNull().alias("keep"))

@@ -45,3 +45,11 @@ def ratchet(metrics: DataFrame, floors: DataFrame, key: str, slack_share: float
 def fingerprint(df: DataFrame) -> Column:
     """An aggregate that tells versions apart, whatever the order of rows."""
     return F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+
+
+def drift(snapshot: DataFrame, live: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, state): missing from the snapshot, differing from it, or stale, as only the snapshot has it."""
+    old = snapshot.select(key, F.col(content).alias("_old"), F.lit(True).alias("_in_old"))
+    new = live.select(key, F.col(content).alias("_new"), F.lit(True).alias("_in_new"))
+    state = F.when(F.col("_in_old").isNull(), "missing").when(F.col("_in_new").isNull(), "stale").when(~F.col("_old").eqNullSafe(F.col("_new")), "differing")
+    return old.join(new, key, "full").select(key, state.alias("state")).where("state is not null")

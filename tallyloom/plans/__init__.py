@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, core, graphs, relational, rendered, textual
+from . import checks, core, graphs, keys, relational, rendered, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (core, textual, relational, graphs, checks, rendered)
+MODULES = (core, textual, relational, graphs, checks, rendered, keys)
 FLAGSHIP: Query = core.customers_by_nation_decade
 
 
