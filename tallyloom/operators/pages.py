@@ -13,8 +13,8 @@ JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 
 
 def anchor_texts(html: Column) -> Column:
-    """What a page shows inside links, a line for each."""
-    return F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), "\n")
+    """What a page shows inside links, with a bar between two."""
+    return F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), " | ")
 
 
 def visible(html: Column) -> Column:
@@ -68,7 +68,7 @@ def withheld_leaks(pages: DataFrame, key: str, html: str, is_profile: Column, wi
     """
     names = withheld.select(F.col(name).alias("name")).distinct().where((F.size(F.split(F.trim("name"), r"\s+")) >= least_words) & (F.length("name") >= least_chars))
     names = names.withColumn("_word", F.split(F.lower(F.trim("name")), r"[^\p{L}]+")[0])
-    rows = pages.where(~F.col(html).rlike(NOINDEX)).select(F.col(key).alias(key), is_profile.alias("_profile"), F.lower(visible(F.col(html))).alias("_text"), F.lower(anchor_texts(F.col(html))).alias("_anchors"))
+    rows = pages.where(~F.col(html).rlike(NOINDEX)).select(F.col(key).alias(key), is_profile.alias("_profile"), F.lower(visible(F.col(html))).alias("_text"), F.lower(visible(anchor_texts(F.col(html)))).alias("_anchors"))
     rows = rows.withColumn("_word", F.explode(F.array_distinct(F.split("_text", r"[^\p{L}]+")))).join(names, "_word")
     rows = rows.where(F.contains("_text", F.lower("name"))).select(key, "name", F.contains("_anchors", F.lower("name")).alias("linked"), "_profile")
     return rows.where("linked or not _profile").drop("_profile")
@@ -77,7 +77,7 @@ def withheld_leaks(pages: DataFrame, key: str, html: str, is_profile: Column, wi
 def rendered_references(refs: DataFrame, pages: DataFrame, key: str, html: str, name: str, status: str) -> DataFrame:
     """refs with a verdict: resolved ones must be links, withheld ones must be there and be none, others are unresolved and no failure."""
     rows = refs.join(pages.select(key, F.col(html).alias("_html")), key, "left")
-    there, linked = F.coalesce(F.contains("_html", name), F.lit(False)), F.coalesce(F.contains(anchor_texts(F.col("_html")), F.col(name)), F.lit(False))
+    there, linked = F.coalesce(F.contains(visible(F.col("_html")), F.col(name)), F.lit(False)), F.coalesce(F.contains(visible(anchor_texts(F.col("_html"))), F.col(name)), F.lit(False))
     verdict = F.when(F.col(status) == "resolved", F.when(linked, "ok").otherwise("not_linked"))
     verdict = verdict.when(F.col(status) == "withheld", F.when(~there, "missing").when(linked, "linked").otherwise("ok")).otherwise("unresolved")
     return rows.withColumn("verdict", verdict).drop("_html")
