@@ -32,9 +32,9 @@ from .common import MERGERS, added_up, typed, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATES, TOP, HASHED = 6, 1500, 250
-#: Passes of Baum-Welch over all training texts; before them, passes over START_TOKENS tokens to leave the symmetric start.
-PASSES, START_PASSES, START_TOKENS = 2, 12, 200_000
-#: Longest run of tokens in training: a text beyond it is trained in runs, each from the start distribution. Scores aren't cut.
+#: Passes of Baum-Welch, each over all training texts.
+PASSES = 14
+#: Longest run of tokens in training: a text beyond it is trained in runs that are worked on side by side; the state is carried over their borders.
 RUN = 256
 #: Bytes of text in a block.
 BLOCK = 4 << 20
@@ -244,36 +244,85 @@ def _padded(classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterato
         at = to
 
 
-def expected(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of runs of classes, all of one token at least."""
+def _transfer(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(first state, last state, run): the probability of a run's tokens and its last state, given its first; scaled for each run."""
     k = STATES
+    out = np.empty((k, k, len(size)))
+    for x, pick in _padded(classes, start, size):
+        live = (x >= 0).sum(axis=1)
+        a = np.eye(k)[:, :, None] * model.emit[:, None, x[0]]  # last state, first state, run
+        for t in range(1, len(x)):
+            n = live[t]
+            step = (model.move.T @ a[:, :, :n].reshape(k, -1)).reshape(k, k, n)
+            step *= model.emit[:, None, x[t, :n]]
+            if t % 8 == 0:
+                step /= step.sum(axis=(0, 1))
+            if n == a.shape[2]:
+                a = step
+            else:
+                a[:, :, :n] = step
+        out[:, :, pick] = (a / a.sum(axis=(0, 1))).transpose(1, 0, 2)
+    return out
+
+
+def _borders(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state, run) twice: the shares of the states at the end of the run before, given the tokens up to there, and the weights of the states at the run's end, given the tokens after it. place: of the run in its text."""
+    before, after = np.ones((STATES, len(size))), np.ones((STATES, len(size)))
+    more = np.append(place[1:] > 0, False)
+    long = np.flatnonzero(more | (place > 0))
+    if len(long):
+        m, p = _transfer(model, classes, start[long], size[long]), place[long]
+        order = np.argsort(p, kind="stable")
+        at = np.searchsorted(p[order], np.arange(int(p.max()) + 2))
+        enter = np.repeat(model.start[:, None], len(long), axis=1)
+        for j in range(1, len(at) - 1):
+            r = order[at[j] : at[j + 1]]
+            last = np.einsum("fr,ftr->tr", enter[:, r - 1], m[:, :, r - 1])
+            last /= last.sum(axis=0)
+            before[:, long[r]], enter[:, r] = last, model.move.T @ last
+        for j in range(len(at) - 2, 0, -1):
+            r = order[at[j] : at[j + 1]]
+            w = model.move @ np.einsum("ftr,tr->fr", m[:, :, r], after[:, long[r]])
+            after[:, long[r - 1]] = w / w.sum(axis=0)
+    return before, after
+
+
+def expected(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Baum-Welch counts of runs of classes, all of one token at least. place: of each run in its text, whose runs follow one another; without it each run is a text."""
+    k = STATES
+    place = np.zeros(len(size), dtype=np.int64) if place is None else place
+    before, after = _borders(model, classes, start, size, place)
     first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1]))
-    table = np.ascontiguousarray(model.emit.T)
-    for x, _ in _padded(classes, start, size):
+    for x, pick in _padded(classes, start, size):
         steps, width = x.shape
         live = (x >= 0).sum(axis=1)
-        b = table[np.maximum(x, 0)]
-        alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-        a = model.start * b[0]
+        b = np.take(model.emit, np.maximum(x, 0), axis=1)
+        alpha, scale = np.zeros((k, steps, width)), np.ones((steps, width))
+        opens = place[pick] == 0
+        a = np.where(opens, model.start[:, None], model.move.T @ before[:, pick]) * b[:, 0]
         for t in range(steps):
             n = live[t]  # runs are sorted by length, so those still going come first
             if t:
-                a = (alpha[t - 1, :n] @ model.move) * b[t, :n]
-            s = a.sum(axis=1)
+                a = (model.move.T @ alpha[:, t - 1, :n]) * b[:, t, :n]
+            s = a.sum(axis=0)
             scale[t, :n] = s
-            alpha[t, :n] = a / s[:, None]
-        beta = np.ones((width, k))
+            alpha[:, t, :n] = a / s
+        beta = after[:, pick]
+        beta /= (alpha[:, size[pick] - 1, np.arange(width)] * beta).sum(axis=0)
         for t in range(steps - 1, -1, -1):
             n = live[t]
             if t + 1 < steps and (m := live[t + 1]):
-                next_ = beta[:m] * b[t + 1, :m] / scale[t + 1, :m, None]
-                move += model.move * (alpha[t, :m].T @ next_)
-                beta[:m] = next_ @ model.move.T
-            alpha[t, :n] *= beta[:n]
-        first += alpha[0].sum(axis=0)
-        flat, own = x.ravel(), x.ravel() >= 0
+                next_ = beta[:, :m] * b[:, t + 1, :m] / scale[t + 1, :m]
+                move += model.move * (alpha[:, t, :m] @ next_.T)
+                beta[:, :m] = model.move @ next_
+            if t == 0:
+                next_ = (beta * b[:, 0] / scale[0])[:, ~opens]
+                move += model.move * (before[:, pick[~opens]] @ next_.T)
+            alpha[:, t, :n] *= beta[:, :n]
+        first += alpha[:, 0, opens].sum(axis=1)
+        flat = (x + 1).ravel()
         for s in range(k):
-            emit[s] += np.bincount(flat[own], weights=alpha[:, :, s].ravel()[own], minlength=emit.shape[1])
+            emit[s] += np.bincount(flat, weights=alpha[s].ravel(), minlength=emit.shape[1] + 1)[1:]
     return np.concatenate([first, move.ravel(), emit.ravel()])
 
 
@@ -298,17 +347,17 @@ def likelihood(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndar
     return out
 
 
-def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of RUN tokens at most of texts that lie one after the other, with their ends."""
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, places in the text) of runs of RUN tokens at most of texts that lie one after the other, with their ends."""
     first = np.cumsum(lengths) - lengths
     n = -(-lengths // RUN)
     place = K.ragged(np.zeros(len(n), dtype=np.int64), n)
     start = np.repeat(first, n) + place * RUN
-    return start, np.minimum(RUN, np.repeat(first + lengths, n) - start)
+    return start, np.minimum(RUN, np.repeat(first + lengths, n) - start), place
 
 
-def _training(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, starts, sizes) of the runs of a block's training texts."""
+def _training(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, starts, sizes, places) of the runs of a block's training texts."""
     width, classes = np.frombuffer(b.column(1)[i].as_buffer(), dtype=np.int64), np.frombuffer(b.column(2)[i].as_buffer(), dtype=np.uint16)
     learnt = np.array([_learnt(x) for x in b.column(0)[i].as_py()], dtype=bool)
     first = np.cumsum(width) - width
@@ -319,31 +368,16 @@ def _training(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def fit(texts: DataFrame, share: np.ndarray, passes: int = PASSES) -> Hmm:
     rows = texts.select("doc_ids", "lengths", "classes")
 
-    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Hmm.first(share)
-        for b in batches:
-            for i in range(b.num_rows):
-                classes, start, size = _training(b, i)
-                few = np.cumsum(size) <= max(START_TOKENS, int(size[0]) if len(size) else 0)
-                for _ in range(START_PASSES if few.any() else 0):
-                    model = Hmm.from_counts(expected(model, classes, start[few], size[few]), share)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([model.start, model.move.ravel(), model.emit.ravel()]).tobytes()], pa.binary())], ["total"])
-
-    def unpack(x: np.ndarray) -> Hmm:
-        k = STATES
-        return Hmm(x[:k], x[k : k + k * k].reshape(k, k), x[k + k * k :].reshape(k, -1))
-
-    first = rows.limit(1).mapInArrow(early, "total binary").first()
-    model = unpack(np.frombuffer(first.total, dtype=float)) if first else Hmm.first(share)
+    model = Hmm.first(share)
     for _ in range(passes):
 
         def expect(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
                 for i in range(b.num_rows):
-                    classes, start, size = _training(b, i)
+                    classes, start, size, place = _training(b, i)
                     if len(size):
-                        part = expected(model, classes, start, size)
+                        part = expected(model, classes, start, size, place)
                         total = part if total is None else total + part
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])

@@ -276,6 +276,33 @@ def test_forward_recursion_is_exact():
     assert abs(counts[:k].sum() - 3) < 1e-9 and abs(counts[k : k + k * k].sum() - 6) < 1e-9 and abs(counts[k + k * k :].sum() - 9) < 1e-9
 
 
+def test_training_carries_the_state_over_run_borders():
+    r = np.random.default_rng(2)
+    k, c = hmm_scores.STATES, 9
+    draw = lambda *s: (x := r.uniform(0.01, 1, s)) / x.sum(axis=-1, keepdims=True)
+    model = hmm_scores.Hmm(draw(k), draw(k, k), draw(k, c))
+    width = np.array([3 * hmm_scores.RUN + 17, 1, hmm_scores.RUN, 40, hmm_scores.RUN + 1])
+    classes = r.integers(0, c, width.sum())
+    whole = hmm_scores.expected(model, classes, np.cumsum(width) - width, width)
+    runs = hmm_scores.expected(model, classes, *hmm_scores._runs(width))
+    assert np.allclose(runs, whole, rtol=1e-9, atol=1e-9)
+    assert abs(runs[:k].sum() - len(width)) < 1e-6 and abs(runs[k : k + k * k].sum() - (width - 1).sum()) < 1e-6
+
+
+def test_training_sees_all_blocks_in_any_order(spark):
+    """A first block of one held-out text, and blocks of different words."""
+    held = next(i for i in range(100) if not hmm_scores._learnt(i))
+    learnt = [i for i in range(1000) if hmm_scores._learnt(i)]
+    r, rows = np.random.default_rng(3), []
+    for ids, low_, high in (([held], 0, 20), (learnt[:30], 0, 200), (learnt[30:60], 150, 400)):
+        width = np.array([50] * len(ids))
+        rows.append((ids, bytearray(width.tobytes()), bytearray(r.integers(low_, high, width.sum()).astype(np.uint16).tobytes())))
+    share = np.full(hmm_scores.CLASSES, 1 / hmm_scores.CLASSES)
+    fits = [hmm_scores.fit(spark.createDataFrame(x, "doc_ids array<long>, lengths binary, classes binary").coalesce(1), share) for x in (rows, rows[::-1], rows[1:])]
+    for other in fits[1:]:
+        assert np.allclose(fits[0].move, other.move, atol=1e-6) and np.allclose(fits[0].emit, other.emit, atol=1e-8)
+
+
 def test_quality_classifier(spark, docs, empty):
     good = [(i, prose(i, 80), 1) for i in range(300)]
     bad = [(1000 + i, " ".join(x + "###" for x in prose(i, 80).split()), 0) for i in range(150)]
