@@ -210,6 +210,20 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("new_decade", F.row_number().over(W.partitionBy(F.floor(F.col("year") / 10)).orderBy("year", "what", "key")) == 1)
 
 
+@query("""with t as (select year(o_orderdate)::int as year, 'order' as what, o_orderkey as key from orders union all select year(l_shipdate)::int, 'ship', l_orderkey from lineitem union all select 1999, 'fixed', 0)
+select year, what, key, floor(year / 10) is distinct from lag(floor(year / 10)) over (order by year, what, key) as new_decade from t""")
+def timeline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """timeline of all orders and lines. The least row of each decade is marked; of equal rows, one."""
+    a = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.lit("order").alias("what"), F.col("o_orderkey").alias("key"))
+    b = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.lit("ship").alias("what"), F.col("l_orderkey").alias("key"))
+    rows = a.unionByName(b).unionByName(spark.range(1).select(F.lit(1999).alias("year"), F.lit("fixed").alias("what"), F.lit(0).cast("long").alias("key")))
+    row = F.struct("year", "what", "key")
+    alike = rows.groupBy("year", "what", "key").agg(F.count("*").alias("n"))
+    least = alike.groupBy(F.floor(F.col("year") / 10)).agg(F.min(row).alias("least")).select("least")
+    marked = alike.join(F.broadcast(least), row.eqNullSafe(F.col("least")), "left")
+    return marked.select("year", "what", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "least").select("year", "what", "key", (F.col("least").isNotNull() & (F.col("i") == 1)).alias("new_decade"))
+
+
 @query("""select p_partkey, p_name, tier from (select p_partkey, p_name, case when starts_with(lower(p_name), 'ri') then 0 when len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'ri'))) > 0 then 1 when contains(lower(p_name), 'ri') then 2 when list_min(list_transform(string_split(lower(p_name), ' '), lambda w: levenshtein(w, 'ri'))) <= 2 then 3 end as tier from part) where tier is not null order by tier, length(p_name), p_name, p_partkey limit 60""")
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "ri", 60, "p_partkey")

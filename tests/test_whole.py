@@ -18,3 +18,12 @@ def test_gate_reports_lines_of_all_parts(spark):
     found = plans.queries()["gate_issues_whole"](spark, SF).where("gate = 'shipped_before_order'")
     assert sorted(map(tuple, found.select("key", "detail").collect())) == sorted(map(tuple, early.select(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).collect()))
     assert plans.queries()["gate_score_whole"](spark, SF).first().n_high == early.count()
+
+
+def test_timeline_has_all_dated_rows(spark):
+    orders, lines = rows(spark, "orders"), rows(spark, "lineitem")
+    found = plans.queries()["timeline_whole"](spark, SF)
+    assert found.count() == orders.count() + lines.count() + 1
+    years = orders.select(F.year("o_orderdate").alias("y")).union(lines.select(F.year("l_shipdate"))).union(spark.sql("select 1999"))
+    assert found.where("new_decade").count() == years.select(F.floor(F.col("y") / 10)).distinct().count()
+    assert found.where("new_decade").agg(F.min("year")).first()[0] == years.agg(F.min("y")).first()[0]
