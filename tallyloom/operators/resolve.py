@@ -26,6 +26,27 @@ def resolve(refs: DataFrame, rules: list[tuple[str, DataFrame]], gate: Column |
     return out.select("ref_id", F.when(F.col("b.n") == 1, F.col("b.one")).alias("slug"), F.col("b.rule").alias("rule"), status.alias("status"))
 
 
+def resolve_by_year(refs: DataFrame, people: DataFrame, rules: list[tuple[str, int | None]], most: int) -> DataFrame:
+    """resolve() of refs (ref_id, name, year) by people (slug, name, birth) of the same name; rules: (name, largest gap in years, None for any).
+
+    A gap beyond most doesn't pass. Each distinct name and year is compared with the
+    counts of its name's births, so that names that many share don't multiply.
+    """
+    births = people.groupBy("name", "birth").agg(F.count_distinct("slug").alias("n"), F.min("slug").alias("one"))
+    asked = refs.select("name", "year").distinct()
+    gap = F.abs(F.col("year") - F.col("birth"))
+    counts = []
+    for i, (_, widest) in enumerate(rules):
+        ok = F.coalesce(gap <= most, F.lit(True)) & (F.lit(True) if widest is None else F.coalesce(gap <= widest, F.lit(False)))
+        counts += [F.sum(F.when(ok, F.col("n"))).alias(f"n{i}"), F.min(F.when(ok, F.col("one"))).alias(f"one{i}")]
+    found = asked.join(births, "name").groupBy("name", "year").agg(*counts)
+    best = F.coalesce(*[F.when(F.col(f"n{i}") > 0, F.struct(F.lit(name).alias("rule"), F.col(f"n{i}").alias("n"), F.col(f"one{i}").alias("one"))) for i, (name, _) in enumerate(rules)])
+    found = found.select(F.col("name").alias("_name"), F.col("year").alias("_year"), best.alias("b"), F.lit(True).alias("had"))
+    out = refs.join(found, (F.col("name") == F.col("_name")) & F.col("year").eqNullSafe(F.col("_year")), "left")
+    status = F.when(F.col("b.n") == 1, "resolved").when(F.col("b.n") > 1, "ambiguous").when(F.col("had"), "refused_dates").otherwise("unresolved")
+    return out.select("ref_id", F.when(F.col("b.n") == 1, F.col("b.one")).alias("slug"), F.col("b.rule").alias("rule"), status.alias("status"))
+
+
 def unique_join(left: DataFrame, right: DataFrame, key: str, take: str) -> DataFrame:
     """left with the right side's `take` where exactly one distinct value has the key, else null."""
     one = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(take).alias(take), F.count_distinct(take).alias("n")).where("n = 1").drop("n")

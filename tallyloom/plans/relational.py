@@ -154,6 +154,23 @@ def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.resolve(refs, [("name_year", both.where("year = birth")), ("name_near_year", both.where("abs(year - birth) <= 2")), ("name", both)], gate)
 
 
+@query("""with p as (select p_partkey as slug, p_name as name, 1800 + p_size as birth from part),
+r as (select p_partkey as ref_id, p_name as name, case when p_partkey % 2 = 0 then 1800 + p_size end as year from part),
+c as (select ref_id, 0 as pr, 'name_year' as rule, slug, true as ok from r join p using (name) where r.year = p.birth
+ union all select ref_id, 1, 'name_near_year', slug, true from r join p using (name) where abs(r.year - p.birth) <= 2
+ union all select ref_id, 2, 'name', slug, coalesce(abs(r.year - p.birth) <= 25, true) from r join p using (name)),
+g as (select ref_id, pr, rule, count(distinct slug) filter (where ok) as n, min(slug) filter (where ok) as one from c group by all),
+b as (select ref_id, min(pr) filter (where n > 0) as pr from g group by ref_id)
+select r.ref_id, case when g.n = 1 then g.one end as slug, g.rule, case when g.n = 1 then 'resolved' when g.n > 1 then 'ambiguous' when b.ref_id is not null then 'refused_dates' else 'unresolved' end as status
+from r left join b using (ref_id) left join g on g.ref_id = b.ref_id and g.pr = b.pr""")
+def resolved_references_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resolved_references with all parts as candidates and as references."""
+    part = table(spark, sf_dir, "part")
+    people = part.select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"), (F.col("p_size") + 1800).alias("birth"))
+    refs = part.select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1800).alias("year"))
+    return X.resolve_by_year(refs, people, [("name_year", 0), ("name_near_year", 2), ("name", None)], 25)
+
+
 OLD, NEW = "c_custkey % 11 <> 0", "c_custkey % 13 <> 0"
 
 

@@ -27,3 +27,14 @@ def test_timeline_has_all_dated_rows(spark):
     years = orders.select(F.year("o_orderdate").alias("y")).union(lines.select(F.year("l_shipdate"))).union(spark.sql("select 1999"))
     assert found.where("new_decade").count() == years.select(F.floor(F.col("y") / 10)).distinct().count()
     assert found.where("new_decade").agg(F.min("year")).first()[0] == years.agg(F.min("y")).first()[0]
+
+
+def test_every_part_is_a_reference_and_a_candidate(spark):
+    part = rows(spark, "part")
+    found = {r.ref_id: r for r in plans.queries()["resolved_references_whole"](spark, SF).collect()}
+    assert len(found) == part.count()
+    people = [(r.p_partkey, r.p_name, r.p_size) for r in part.collect()]
+    for key, name, size in people:
+        alike = [k for k, n, s in people if n == name and (s == size if key % 2 == 0 else True)]
+        r = found[key]
+        assert (r.status, r.slug) == (("resolved", alike[0]) if len(alike) == 1 else ("ambiguous", None)) and r.rule == ("name" if key % 2 else "name_year")
