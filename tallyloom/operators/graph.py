@@ -98,6 +98,19 @@ def descendant_paths(children: DataFrame, roots: DataFrame, depth: int = 6) -> D
     return out
 
 
+def descendant_totals(children: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+    """(root, n, depth) of roots with descendants: the number of descendant_paths and their deepest level, summed upwards, so that each round has a row for each parent at most."""
+    level = cut(children.groupBy(F.col("parent").alias("root")).agg(F.count("*").alias("n")))
+    out = level.withColumn("depth", F.lit(1))
+    for k in range(2, depth + 1):
+        level = cut(level.join(children, level.root == children.child).groupBy(F.col("parent").alias("root")).agg(F.sum("n").alias("n")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.withColumn("depth", F.lit(k)))
+    totals = out.groupBy("root").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
+    return totals.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
+
+
 def chain_ends(links: DataFrame) -> DataFrame:
     """(src, end) of chains src -> dst by pointer doubling; what is on a cycle, or leads to one, has a null end."""
     at, moving = cut(links.groupBy("src").agg(F.min("dst").alias("dst"))), None

@@ -40,6 +40,13 @@ def descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.descendant_paths(_parents(spark, sf_dir), roots, 6).groupBy("root").agg(F.count("*").alias("n"), F.max("level").alias("depth"))
 
 
+@query(f"{TREE}, d(root, node, level) as (select c_custkey, c_custkey, 0 from customer union all select d.root, p.child, d.level + 1 from d join p on p.parent = d.node where d.level < 6) select root, count(*)::bigint as n, max(level)::int as depth from d where level > 0 group by 1")
+def descendant_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """descendant_counts with all customers as roots."""
+    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    return G.descendant_totals(_parents(spark, sf_dir), roots, 6)
+
+
 @query("select a.c_custkey as a, b.c_custkey as b from customer a join customer b on a.c_custkey // 3 = b.c_custkey // 3 and a.c_nationkey % 4 = b.c_nationkey % 4 and a.c_custkey < b.c_custkey where a.c_custkey > 2")
 def derived_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")

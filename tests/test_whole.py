@@ -38,3 +38,17 @@ def test_every_part_is_a_reference_and_a_candidate(spark):
         alike = [k for k, n, s in people if n == name and (s == size if key % 2 == 0 else True)]
         r = found[key]
         assert (r.status, r.slug) == (("resolved", alike[0]) if len(alike) == 1 else ("ambiguous", None)) and r.rule == ("name" if key % 2 else "name_year")
+
+
+def test_all_customers_with_descendants_are_roots(spark):
+    keys = {r.c_custkey for r in rows(spark, "customer").collect()}
+    expected = {}
+    for key in keys - {0}:
+        at, level = key, 0
+        while at > 0 and level < 6:
+            at, level = at // 3, level + 1
+            if at in keys:
+                n, depth = expected.get(at, (0, 0))
+                expected[at] = n + 1, max(depth, level)
+    assert max(expected) > 20
+    assert {r.root: (r.n, r.depth) for r in plans.queries()["descendant_counts_whole"](spark, SF).collect()} == expected
