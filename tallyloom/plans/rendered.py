@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import pages as P
 from .registry import Registry, table
 
@@ -80,6 +81,18 @@ def descriptions_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.over_budget(table(spark, sf_dir, "documents").selectExpr("doc_id", text), "doc_id", "said")
 
 
+@query(r"""with c as (select doc_id, text, substr(text, 1, 160) as cut from documents where length(text) > 160),
+e as (select *, 160 - length(regexp_extract(reverse(cut), '^[^.!?]*')) as s, 160 - length(regexp_extract(reverse(cut), '^[^,;:]*')) as k, 160 - length(regexp_extract(reverse(cut), '^\S*')) as b from c),
+d as (select doc_id, case when s > 96 then substr(cut, 1, s) when k > 96 then regexp_replace(substr(cut, 1, k), '[\s,;:]+$', '') || '…' when b > 96 then regexp_replace(substr(cut, 1, b), '[\s,;:]+$', '') || '…' else regexp_replace(cut, '[\s,;:]+$', '') || '…' end as said from e)
+select doc_id, length(said) as length from d where length(said) > 160""")
+def descriptions_over_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """descriptions_over_budget of the descriptions that the library makes of whole texts, as pages show them."""
+    shown = T.clamp(F.col("text"))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        shown = F.replace(shown, F.lit(char), F.lit(entity))
+    return P.over_budget(table(spark, sf_dir, "documents").select("doc_id", shown.alias("said")), "doc_id", "said")
+
+
 @query("select page_id, case when page_id % 3 = 0 then 0 when page_id % 3 = 1 then 6 else 1 end as h1, case when page_id % 3 = 2 then 15 else 1 end as h2 from pages where page_id % 3 < 2")
 def heading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").selectExpr("page_id", "case page_id % 3 when 0 then '<h2>b</h2>' when 1 then '<h2>b<H1 id=\"a\">a' else '<h1>a</h1><h2>b' end as html")

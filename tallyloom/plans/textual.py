@@ -61,6 +61,12 @@ def folded_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60), fold=True).alias("slug"))
 
 
+@query(f"select doc_id, trim(regexp_replace(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
+def folded_slugs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """folded_slugs of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text"), fold=True).alias("slug"))
+
+
 YEARS = "case o_orderkey % 5 when 0 then '~' || year(o_orderdate) when 1 then 'c. ' || year(o_orderdate) when 2 then 'approx ' || year(o_orderdate) when 3 then 'unknown' else cast(year(o_orderdate) as {}) end"
 
 

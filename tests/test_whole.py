@@ -1,5 +1,7 @@
 """Queries that cover all rows of their tables, against counts that don't come from their SQL."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyloom import plans
@@ -52,3 +54,14 @@ def test_all_customers_with_descendants_are_roots(spark):
                 expected[at] = n + 1, max(depth, level)
     assert max(expected) > 20
     assert {r.root: (r.n, r.depth) for r in plans.queries()["descendant_counts_whole"](spark, SF).collect()} == expected
+
+
+def test_slugs_and_descriptions_are_of_whole_texts(spark):
+    docs = {r.doc_id: r.text for r in rows(spark, "documents").collect()}
+    slugs = {r.doc_id: r.slug for r in plans.queries()["folded_slugs_whole"](spark, SF).collect()}
+    assert slugs.keys() == docs.keys() and any(len(x) > 1000 for x in slugs.values())
+    plain = {k: v for k, v in docs.items() if v and v.isascii()}
+    assert plain and all(slugs[k] == "-".join(re.findall("[a-z0-9]+", v.lower())) for k, v in plain.items())
+    made = {r.doc_id: len(r.description) for r in plans.queries()["descriptions"](spark, SF).collect() if r.description is not None}
+    over = {r.doc_id: r.length for r in plans.queries()["descriptions_over_budget_whole"](spark, SF).collect()}
+    assert over == {k: n for k, n in made.items() if n > 160}
