@@ -47,6 +47,10 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: A key from its BEGIN line through its END line or, where that is missing, to the end of the base64 lines.
+WHOLE_KEY = Rule("private_key", MORE_RULES[0].pattern + r"(?:[A-Za-z0-9+/=\s\\:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:[\s\\]{1,4}[A-Za-z0-9+/]{16,}={0,2}){1,1000}(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?:\r?\n|$))?)?)")
+#: What redact() replaces; the spans that secret_digest() lists have the BEGIN line only.
+REDACTED_RULES = tuple(WHOLE_KEY if r.kind == "private_key" else r for r in RULES)
 SPANS = "array<struct<start:int,number:int,end:int,kind:string>>"
 
 
@@ -125,7 +129,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED_RULES) -> DataFrame:
     """docs (with its columns as they are) with every span of text replaced by [kind]; overlapping spans go together, under the first one's kind; n_chars, if there, is counted anew."""
     columns = docs.columns
     out = secret_spans(docs, rules, *columns)

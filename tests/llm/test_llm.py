@@ -242,6 +242,14 @@ def test_chat_format(spark):
     assert chat_format.read_back(chat_format.windows(table.limit(0))).count() == 0
 
 
+def test_redact_takes_whole_private_keys(spark):
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEow" + "Qx9/+" * 11] * 30 + ["Zm9v"])
+    texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0AF1\n\n{body}==\n{end} b", f"a\n{begin}\n{body}\nplain words, after it", f"a {begin} b.", f"a {begin}\n{body}\n{end} mid. {begin}\n{body}\n{end} b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    assert got == {0: "a\n[private_key]\nb", 1: "a [private_key] b", 2: "a\n[private_key]plain words, after it", 3: "a [private_key] b.", 4: "a [private_key] mid. [private_key] b"}
+
+
 def test_lm_scores(docs, empty):
     count, ends = collections.Counter(), 0
     for r in docs.collect():
