@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +26,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is named in local mode, as in tests."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyloom.scratch", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         spark.conf.set("tallyloom.scratch", shared)
     return shared.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no recomputation."""
+#: For each thread, the scratch tables of the operators that run now, those of the innermost last.
+_running = threading.local()
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", kept: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no recomputation. kept: it outlives the operator that writes it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = getattr(_running, "scopes", [])
+    if len(scopes) > kept:
+        scopes[-1 - kept].append(path)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a written df that nothing reads any more."""
+    _delete(df.sparkSession, df._scratch)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, except kept ones."""
+    if not hasattr(_running, "scopes"):
+        _running.scopes = []
+    _running.scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _running.scopes.pop():
+            _delete(spark, path)
 
 
 def typed(docs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
