@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import typed, written
+from .common import released, typed, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,8 +63,17 @@ def fingerprint(unique: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(unique.tobytes()) - (1 << 63)
 
 
+def digest_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest): rows are told apart by doc_id and digest, so that rows that repeat a doc_id, or have none, are documents of their own."""
+    return typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("digest", digest_of())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node identifies the set (null for an empty one), sig is its signature."""
+    """(doc_id, digest, n_shingles, node, sig): digest is of the text, node identifies the set (null for an empty one), sig is its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = K.Hasher("space", lower=True)
@@ -81,9 +91,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for j, i in enumerate(full):
                     u = np.unique(g[bounds[i] : bounds[i + 1]])
                     n[i], node[i], sigs[i] = len(u), fingerprint(u), sig[j].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(node, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(lo, hi - lo) for k in (0, 2)], pa.array(n), pa.array(node, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "digest", "n_shingles", "node", "sig"])
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return identified(docs).mapInArrow(run, "doc_id long, digest binary, n_shingles long, node long, sig binary")
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
@@ -210,12 +220,12 @@ def block_links(rows: DataFrame, within: bool, percent: int) -> DataFrame:
 
 
 def neighbours(at: DataFrame) -> DataFrame:
-    """(node, block): who has to ask in which later block, from rows (key, left_out, tiles, node, block, grp, sig).
+    """(node, block): who has to ask in which later block, from rows (key, left_out, tile, tiles, first, parts, node, block, grp, sig).
 
     Signatures of documents that share a key and aren't connected are compared
     here, under the first of the keys that they share only. A key with many
     documents is cut into tiles, and tiles meet in pairs, each pair in a group
-    of its own.
+    of its own; the tiles of one component, numbered from first, don't meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +274,30 @@ def neighbours(at: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield from told(list(compared(*rest)))
 
-    own = F.pmod("node", "tiles")
-    rows = at.withColumn("tile", own).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1L)")))
+    rows = at.withColumn("other", F.explode(F.expr("filter(sequence(0L, tiles - 1L), x -> x < first or x >= first + parts)")))
     group = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
     rows = rows.select(group.alias("group"), "tile", (F.col("tile") != F.col("other")).cast("int").alias("cross"), "left_out", "node", "block", "grp", "sig")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "node long, block long")
 
 
+def tiled(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows (key, node, grp, ...) of the keys in several (key, n) with tile, tiles, first, parts.
+
+    A key of up to TILE documents is one tile. Beyond that a component with TILE
+    of a key's documents or more has tiles of its own, parts of them from first
+    on, and the rest share tiles in front of those.
+    """
+    large = rows.join(several.where(F.col("n") > TILE).select("key"), "key", "left_semi").groupBy("key", "grp").agg(F.count("*").alias("n"))
+    own = large.withColumn("parts", F.floor(F.col("n") / TILE))
+    shared = own.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("parts") == 0, F.col("n")).otherwise(0)) / TILE).alias("mixed"), F.sum("parts").alias("pure"))
+    before = F.coalesce(F.sum("parts").over(W.partitionBy("key").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pure = own.where("parts > 0").select("key", "grp", "parts", before.alias("before"))
+    out = rows.join(several.select("key"), "key").join(shared, "key", "left").join(pure, ["key", "grp"], "left")
+    first = F.coalesce(F.col("mixed") + F.col("before"), F.lit(0))
+    out = out.withColumn("tiles", F.coalesce(F.col("mixed") + F.col("pure"), F.lit(1))).withColumn("first", first).withColumn("parts", F.coalesce("parts", F.lit(0)))
+    return out.withColumn("tile", F.when(F.col("parts") > 0, F.col("first") + F.expr("pmod(node, parts)")).otherwise(F.expr("pmod(node, coalesce(greatest(mixed, 1), 1))"))).drop("mixed", "pure", "before")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -285,8 +312,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     if not 75 <= percent <= 100:
         raise ValueError("the signature distance is made for similarities from 0.75 to 1")
+    found = clusters(docs, percent)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def clusters(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Per row of docs: doc_id, digest, n_shingles, node, component (the least node that links reach), least (doc_id of the component); written."""
+    with released(docs.sparkSession):
+        return written(_clusters(docs, percent), "components", kept=True)
+
+
+def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     own = written(signatures(docs), "signatures")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = own.where("node is not null").groupBy("node").agg(F.min(name).alias("name"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select("node", "name.doc_id", "name.digest", "sig", "n_shingles")
     keys = index_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = written(keys.join(shared, "key"), "members")
@@ -294,36 +334,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     cluster = votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("cluster"))
     placed = cluster.join(nodes, "node")
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    placed = written(placed.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "sig", "block"), "placed")
-    texts = typed(docs, ("doc_id", "long"), ("text", "string"))
-    members_text = written(placed.join(texts, placed.doc_id.eqNullSafe(texts.doc_id)).select("node", "block", "sig", "text"), "texts")
+    placed = written(placed.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "digest", "sig", "block"), "placed")
+    texts = identified(docs).toDF("t_id", "text", "t_digest")
+    members_text = written(placed.join(texts, (placed.digest == texts.t_digest) & placed.doc_id.eqNullSafe(texts.t_id)).select("node", "block", "sig", "text"), "texts")
 
     asks = lambda yes: F.lit(yes).alias("asks")
     inner = block_links(members_text.select("block", asks(False), "node", F.col("node").alias("grp"), "sig", "text"), True, percent)
     inner = written(inner, "links")
     joined = components(inner)
     grouped = written(placed.select("node", "block").join(joined, "node", "left").select("node", "block", F.coalesce("component", "node").alias("grp")), "grouped")
-    several = members.select("key", "node").join(grouped.select("node", "grp"), "node").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / TILE).alias("tiles")).where("lo <> hi").select("key", "tiles")
-    at = members.select("key", "left_out", "node").join(several, "key").join(grouped, "node").join(nodes.select("node", "sig"), "node")
-    questions = written(neighbours(at).distinct().join(grouped.select("node", "grp"), "node"), "questions")
+    several = written(members.select("key", "node").join(grouped.select("node", "grp"), "node").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "several")
+    at = tiled(members.select("key", "left_out", "node").join(grouped, "node"), several).join(nodes.select("node", "sig"), "node")
+    questions = written(neighbours(at.select("key", "left_out", "tile", "tiles", "first", "parts", "node", "block", "grp", "sig")).distinct().join(grouped.select("node", "grp"), "node"), "questions")
     asking = questions.join(members_text.select("node", "sig", "text"), "node").select("block", asks(True), "node", "grp", "sig", "text")
     asked = questions.select("block").distinct().join(members_text.join(grouped.select("node", "grp"), "node"), "block").select("block", asks(False), "node", "grp", "sig", "text")
     outer = block_links(asked.union(asking), False, percent)
     all_links = written(inner.union(outer), "links")
     reached = components(all_links)
-    least = nodes.select("node", "doc_id").join(reached, "node").groupBy("component").agg(F.min("doc_id").alias("of_component"))
-    of_node = reached.join(least, "component").select("node", "of_component")
-    of_node = nodes.select("node", F.col("doc_id").alias("least")).join(of_node, "node", "left").select(F.col("node").alias("set"), F.coalesce("of_component", "least").alias("least"))
-    out = own.drop("sig").join(of_node, own.node == of_node.set, "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = nodes.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = component.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_node = component.join(least, "component").select(F.col("node").alias("set"), "component", "least")
+    return own.drop("sig").join(of_node, own.node == of_node.set, "left").drop("set")
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, with their columns as they are, without those whose component has a lesser doc_id; of rows that repeat a doc_id one stays. Rows without a doc_id can't be told apart, so they stay."""
-    found = written(near_duplicates(docs, percent), "components")
-    out = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(out, docs["doc_id"].cast("long") == out.dropped_id, "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """The rows of docs, with their columns as they are, one of each group of near duplicates: that with the least doc_id (none counts as the greatest) and, of rows that repeat it, the least digest of the text.
+
+    Rows are told apart by doc_id and text: distinct texts under one doc_id, or
+    without one, are documents of their own, and of rows that repeat both any
+    one stays. Texts without words (null, empty) are duplicates only of
+    rows with the same doc_id and text. An empty table gives an empty result.
+    """
+    found = clusters(docs, percent)
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    first = found.where("node is not null").groupBy("component").agg(F.min(name).alias("first"))
+    gone = found.where("node is not null").join(first, "component").where(~name.eqNullSafe(F.col("first"))).select("doc_id", "digest").distinct()
+    again = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+
+    def named(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = others.toDF("_of_id", "_of_digest")
+        return rows.join(others, rows["doc_id"].cast("long").eqNullSafe(others["_of_id"]) & digest_of().eqNullSafe(others["_of_digest"]), how)
+
+    with released(docs.sparkSession):
+        gone, again = written(gone, "gone", kept=True), written(again, "repeated", kept=True)
+    left = named(docs, gone, "left_anti")
+    if again.isEmpty():
+        return left
+    return named(left, again, "left_anti").unionByName(named(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
