@@ -1,8 +1,8 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression yields a Boolean query of trigrams that every
-match contains. The index holds postings, one row for each document and each
-trigram that some query names. A rule's candidates are the documents whose
+match contains. The index, a stored table, holds postings: one row for each
+document and each trigram that some query names. A rule's candidates are the documents whose
 postings meet one of the ANDs of its query; those are verified with the
 expression itself. Rules without a mandatory trigram are run over all texts.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import typed
+from .common import released, typed, written
 from .trigram_query import ANY, Query, trigram_query
 
 
@@ -52,6 +52,8 @@ WHOLE_KEY = Rule("private_key", MORE_RULES[0].pattern + r"(?:[A-Za-z0-9+/=\s\\:,
 #: What redact() replaces; the spans that secret_digest() lists have the BEGIN line only.
 REDACTED_RULES = tuple(WHOLE_KEY if r.kind == "private_key" else r for r in RULES)
 SPANS = "array<struct<start:int,number:int,end:int,kind:string>>"
+#: Matches that are put together at a time; runs of so many are then joined, so that a text with many matches isn't copied for each.
+TOGETHER = 256
 
 
 def queries(rules: tuple[Rule, ...]) -> dict[str, list[list[str]]]:
@@ -60,19 +62,19 @@ def queries(rules: tuple[Rule, ...]) -> dict[str, list[list[str]]]:
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id) of the given trigrams in the lower-cased texts of docs (doc_id, text)."""
+    """Postings (trigram, doc_id), each once, of the given trigrams in the lower-cased texts of docs (doc_id, text). Written once, they answer for all rules whose trigrams are among those."""
     low = typed(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))).alias("trigram"))
+    return low.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))).alias("trigram")).distinct()
 
 
-def candidates(index: DataFrame, asked: dict[str, list[list[str]]]) -> DataFrame:
-    """(doc_id, kinds): the rules whose query the document's postings meet."""
-    spark = index.sparkSession
-    rows = [(kind, i, t, len(all_of)) for kind, ands in asked.items() for i, all_of in enumerate(ands) for t in all_of]
-    terms = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("term"), F.lit(t).alias("trigram"), F.lit(n).alias("needs")) for k, i, t, n in rows])))
-    # postings repeat where rows repeat a doc_id; the terms are those of the rules, a few dozen rows
-    met = index.distinct().join(F.broadcast(terms), "trigram").groupBy("doc_id", "kind", "term", "needs").agg(F.count("*").alias("n"))
-    return met.where("n = needs").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(doc_id, mask): bit i is set if the document's postings meet the query of rules[i]."""
+    asked = queries(rules)
+    rows = [(i, n, t, len(all_of)) for i, r in enumerate(rules) for n, all_of in enumerate(asked.get(r.kind, [])) for t in all_of]
+    terms = index.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(n).alias("term"), F.lit(t).alias("trigram"), F.lit(k).alias("needs")) for i, n, t, k in rows])))
+    # the terms are those of the rules, a few dozen rows
+    met = index.join(F.broadcast(terms), "trigram").groupBy("doc_id", "rule", "term", "needs").agg(F.count("*").alias("n")).where("n = needs")
+    return met.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
 
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -82,39 +84,50 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     between = F.split(text, rule.pattern, -1)
     steps = F.zip_with(F.zip_with(found, group, lambda m, g: F.struct(F.length(m).alias("size"), F.length(g).alias("inner"))), F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.length(b).alias("skip"), m.size.alias("size"), m.inner.alias("inner")))
     none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         first = acc.at + x.skip
         this = F.struct(first.alias("start"), F.lit(number).alias("number"), (first + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct((first + x["size"]).alias("at"), F.when(x.inner >= rule.least, F.concat(acc.out, F.array(this))).otherwise(acc.out).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, start, step, lambda acc: acc.out)).otherwise(none)
+    def run(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc.at.alias("at"), none.alias("out")), step)
+        return F.struct(own.at.alias("at"), F.concat(acc.out, F.array(own.out)).alias("out"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / TOGETHER).cast("int")), lambda i: F.slice(steps, i * TOGETHER + 1, TOGETHER))
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), run, lambda acc: F.flatten(acc.out))
+    return F.when(text.rlike(rule.pattern), whole).otherwise(none)
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *keep: str) -> DataFrame:
-    """docs (doc_id, text, and the columns named in keep) with found: an array of (start, number, end, kind) by start, then in the order of rules.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, whole_rows: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, text, found, an array of (start, number, end, kind) by start, then in the order of rules; with whole_rows also row, a struct of all its columns as they are.
 
     Null texts count as empty: found is empty. Rows that repeat a doc_id are
     verified each by itself; a null doc_id is as good as any. An empty table
     gives an empty result. Matches of a rule don't overlap; those of different
-    rules may.
+    rules may. Columns beyond those two aren't looked at, whatever their names.
+
+    The postings and the candidates are written. Texts are verified where they
+    are read as long as the candidates' table is small enough for Spark to
+    broadcast (spark.sql.autoBroadcastJoinThreshold); beyond that the texts are
+    dealt by doc_id, once.
     """
     asked = queries(rules)
-    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(F.col("`text`").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text")])
-    kinds = F.array().cast("array<string>")
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(F.col("`text`").cast("string"), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if whole_rows else []))
+    mask = F.lit(0).cast("long")
     if asked:
-        trigrams = sorted({t for ands in asked.values() for a in ands for t in a})
-        met = candidates(build_index(docs, trigrams), asked).withColumnRenamed("doc_id", "of").withColumnRenamed("kinds", "of_kinds")
+        with released(docs.sparkSession):
+            trigrams = sorted({t for ands in asked.values() for a in ands for t in a})
+            met = written(candidates(written(build_index(docs, trigrams), "postings"), rules), "candidates", kept=True)
+        met = met.toDF("of", "mask")
         rows = rows.join(met, rows.doc_id.eqNullSafe(met.of), "left").drop("of")
-        kinds = F.coalesce("of_kinds", kinds)
+        mask = F.coalesce("mask", mask)
     text = F.col("text")
     arrays = []
     for i, r in enumerate(rules):
         spans = spans_of(text, r, i)
-        arrays.append(F.when(F.array_contains(kinds, r.kind), spans).otherwise(F.array().cast(SPANS)) if r.kind in asked else spans)
-    found = F.array_sort(F.concat(*arrays))
-    return rows.withColumn("found", found).drop("of_kinds")
+        arrays.append(F.when(mask.bitwiseAND(1 << i) != 0, spans).otherwise(F.array().cast(SPANS)) if r.kind in asked else spans)
+    return rows.select("doc_id", "text", *(["row"] if whole_rows else []), F.array_sort(F.concat(*arrays)).alias("found"))
 
 
 def joined(found: Column) -> Column:
@@ -130,16 +143,22 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED_RULES) -> DataFrame:
-    """docs (with its columns as they are) with every span of text replaced by [kind]; overlapping spans go together, under the first one's kind; n_chars, if there, is counted anew."""
-    columns = docs.columns
-    out = secret_spans(docs, rules, *columns)
+    """docs with every span of text replaced by [kind]; overlapping spans go together, under the first one's kind.
+
+    All other columns stay as they are, whatever their names and types, except
+    n_chars, which is counted anew where text changes. Null and empty texts stay
+    null and empty, and an empty table empty; rows that repeat a doc_id, or have
+    none, are redacted each by itself.
+    """
+    out = secret_spans(docs, rules, whole_rows=True)
 
     def step(acc: Column, x: Column) -> Column:
         apart = x.start >= acc.at
-        piece = F.concat(acc.text, F.substring("text", acc.at + 1, x.start - acc.at), F.lit("["), x.kind, F.lit("]"))
-        return F.struct(F.greatest(acc.at, x.end).alias("at"), F.when(apart, piece).otherwise(acc.text).alias("text"))
-
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda acc: F.concat(acc.text, F.substring("text", acc.at + 1, F.length("text"))))
-    out = out.withColumn("clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
-    value = {"text": F.col("clean").alias("text"), "n_chars": F.length("clean").cast("long").alias("n_chars")}
-    return out.select(*[value.get(c, F.col(f"`{c}`")) for c in columns])
+        piece = F.concat(F.substring("text", acc.at + 1, x.start - acc.at), F.lit("["), x.kind, F.lit("]"))
+        return F.struct(F.greatest(acc.at, x.end).alias("at"), F.when(apart, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring("text", acc.at + 1, F.length("text"))))
+    out = out.select("row", "found", F.when(F.size("found") > 0, clean).alias("clean"))
+    value = {"text": F.coalesce("clean", F.col("row.text")), "n_chars": F.coalesce(F.length("clean"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(value[c].cast(docs.schema[c].dataType) if c in value else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
