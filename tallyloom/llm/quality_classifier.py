@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import added_up, typed, written
+from .common import added_up, released, typed, written
 from .quality_rules import Stats, _hashers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,16 +76,23 @@ class Model:
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of each text as packed doubles."""
+    return _with_statistics(typed(docs, ("doc_id", "long"), ("text", "string")), "x").select("doc_id", "x")
+
+
+def _with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a further column of that name, the statistics of text."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = _hashers()
         for b in batches:
-            data, offsets = K.column(b.column(1))
+            data, offsets = K.column(b.column(at))
             for lo, hi in K.spans(offsets):
                 x = statistics(data, offsets[lo : hi + 1], hashers)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in x], pa.binary())], [*b.schema.names, name])
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, x binary")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def _matrix(array: pa.Array) -> np.ndarray:
@@ -160,8 +168,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learn from, every score is 0.5. A null doc_id is held out from nothing
     (held_out is null) and learns nothing. Further columns aren't looked at.
     """
-    x = written(described(docs), "described")
-    model = fit(x, labels)
+    x = written(described(docs), "described", kept=True)
+    with released(docs.sparkSession):
+        model = fit(x, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,17 +183,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns as they are, that are predicted to be of quality; each row is judged by its own text."""
-    model = fit(written(described(docs), "described"), labels)
-    schema = docs.schema
-    at = docs.columns.index("text")
+    """The rows of docs, with their columns as they are, that are predicted to be of quality; each row is judged by its own text.
+
+    Null texts count as empty and are judged like any other; so are rows that
+    repeat a doc_id or have none. Without any label to learn from all rows stay,
+    and an empty table stays empty. Statistics are taken once, into a table of
+    the rows with them.
+    """
+    name = "x"
+    while name in docs.columns:
+        name += "_"
+    rows = written(_with_statistics(docs, name), "described", kept=True)
+    with released(docs.sparkSession):
+        model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("x")), labels)
+    at = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = _hashers()
         for b in batches:
-            data, offsets = K.column(b.column(at))
-            for lo, hi in K.spans(offsets):
-                good = model.score(statistics(data, offsets[lo : hi + 1], hashers)) >= THRESHOLD
-                yield b.slice(lo, hi - lo).filter(pa.array(good))
+            for lo in range(0, b.num_rows, 4096):
+                p = b.slice(lo, 4096)
+                good = model.score(_matrix(p.column(at))) >= THRESHOLD
+                yield pa.RecordBatch.from_arrays(p.columns[:at], b.schema.names[:at]).filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
