@@ -25,7 +25,7 @@ from .common import typed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Documents on which costs and selectivities are measured.
+#: Documents on which costs and selectivities are measured, about: each is drawn by the hash of its doc_id.
 SAMPLE_ROWS = 2000
 SYMBOLS = b"[#*$%&|<>]"
 
@@ -44,6 +44,10 @@ class Stats:
             self.have[name] = getattr(self, name)()
         return self.have[name]
 
+    def of(self, which: np.ndarray) -> Stats:
+        """The same for some of the texts. What has been computed is kept; their bytes are put together only if more is asked for."""
+        return _Some(self, which) if len(which) < len(self.offsets) - 1 else self
+
     def count(self, flags: np.ndarray) -> np.ndarray:
         return K.per_text(flags, self.offsets, self.base)
 
@@ -93,6 +97,29 @@ class Stats:
         return K.per_text(inside, first)
 
 
+class _Some(Stats):
+    """Statistics of some texts of a run."""
+
+    def __init__(self, whole: Stats, which: np.ndarray):
+        self.hashers, self.have = whole.hashers, {k: v[which] for k, v in whole.have.items() if isinstance(v, np.ndarray)}
+        self.whole, self.which, self.base = whole, which, 0
+
+    def __getattr__(self, name: str):
+        if name not in ("data", "offsets", "part"):
+            raise AttributeError(name)
+        first, lengths = self.whole.offsets[:-1][self.which], np.diff(self.whole.offsets)[self.which]
+        self.data = self.part = self.whole.data[K.ragged(first, lengths)]
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return self.__dict__[name]
+
+    def of(self, which: np.ndarray) -> Stats:
+        if len(which) == len(self.which):
+            return self
+        out = _Some(self.whole, self.which[which])
+        out.have = {k: v[which] for k, v in self.have.items() if isinstance(v, np.ndarray)}
+        return out
+
+
 @dataclass(frozen=True)
 class Rule:
     """rejects: from statistics to booleans; sql: the same as a condition on columns."""
@@ -122,7 +149,7 @@ def _hashers() -> dict[str, K.Hasher]:
 
 
 def measured_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second on at most sample_rows documents; ties and an empty table keep the order given."""
+    """rules by rejections per second on about sample_rows documents, measured where they are read; ties and an empty table keep the order given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, cost, out, seen = _hashers(), [0.0] * len(rules), [0] * len(rules), 0
@@ -136,7 +163,9 @@ def measured_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
                     cost[i] += time.thread_time() - began
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(cost), pa.array(out, pa.int64()), pa.array([seen] * len(rules), pa.int64())], ["rule", "cost", "out", "seen"])
 
-    sample = typed(docs, ("text", "string")).limit(sample_rows).mapInArrow(run, "rule int, cost double, out long, seen long")
+    rows = docs.count()
+    drawn = F.pmod(F.xxhash64(F.col("`doc_id`").cast("long"), F.lit(41)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(rows, 1)))
+    sample = typed(docs.where(drawn), ("text", "string")).mapInArrow(run, "rule int, cost double, out long, seen long")
     total = {i: (out, cost) for i, out, cost in sample.groupBy("rule").agg(F.sum("out"), F.sum("cost")).collect()}
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-total.get(i, (0, 1.0))[0] / max(total.get(i, (0, 1.0))[1], 1e-9), i))]
 
@@ -162,25 +191,37 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataF
                 base = np.zeros(hi - lo, dtype=bool)
                 for rule in BASE_RULES:
                     base |= rule.rejects(stats)
-                kept = cascade(data, offsets[lo : hi + 1], hashers, order, stats)
+                kept, _ = cascade(order, stats)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(x, pa.int64()) for x in columns], pa.array(base), pa.array(kept & ~base)], ["doc_id", *STATISTICS, "base_failed", "kept"])
 
     return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in STATISTICS)}, base_failed boolean, kept boolean")
 
 
-def cascade(data: np.ndarray, offsets: np.ndarray, hashers: dict[str, K.Hasher], order: Sequence[Rule], stats: Stats | None = None) -> np.ndarray:
-    """Which texts no rule rejects. After each rule the texts that it rejects are left out, unless so few go that copying the rest costs more."""
-    n = len(offsets) - 1
-    kept, alive = np.ones(n, dtype=bool), np.arange(n)
-    stats = stats or Stats(data, offsets, hashers)
-    for rule in order:
-        bad = rule.rejects(stats)
-        kept[alive[bad]] = False
-        if 4 * bad.sum() > len(alive):
-            alive = alive[~bad]
-            if not len(alive):
-                break
-            lengths = np.diff(stats.offsets)[~bad]
-            part = stats.data[K.ragged(stats.offsets[:-1][~bad], lengths)]
-            stats = Stats(part, np.concatenate([[0], np.cumsum(lengths)]), hashers)
-    return kept
+def cascade(order: Sequence[Rule], stats: Stats) -> tuple[np.ndarray, np.ndarray]:
+    """(which texts no rule rejects, how many texts each rule was asked about). A text that a rule rejects is left out of all that follow."""
+    alive = np.arange(len(stats.offsets) - 1)
+    kept, asked = np.zeros(len(alive), dtype=bool), np.zeros(len(order), dtype=np.int64)
+    for i, rule in enumerate(order):
+        if not len(alive):
+            break
+        asked[i] = len(alive)
+        good = np.flatnonzero(~rule.rejects(stats))
+        alive, stats = alive[good], stats.of(good)
+    kept[alive] = True
+    return kept, asked
+
+
+def cascade_report(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """(place, rule, asked, rejected): in the order in which rules run, how many documents each was asked about and rejected."""
+    order = list(rules) if rules is not None else measured_order(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = _hashers()
+        for b in batches:
+            data, offsets = K.column(b.column(0))
+            for lo, hi in K.spans(offsets):
+                kept, asked = cascade(order, Stats(data, offsets[lo : hi + 1], hashers))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(order)), pa.int32()), pa.array([r.name for r in order]), pa.array(asked), pa.array(asked - np.append(asked[1:], kept.sum()))], ["place", "rule", "asked", "rejected"])
+
+    found = typed(docs, ("text", "string")).mapInArrow(run, "place int, rule string, asked long, rejected long")
+    return found.groupBy("place", "rule").agg(F.sum("asked").alias("asked"), F.sum("rejected").alias("rejected"))
