@@ -13,6 +13,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 U64 = np.uint64
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
+#: Words of more bytes are hashed by xxh3: over so few, no two words cancel out in the polynomial as long ones can that repeat a pattern.
+SHORT = 48
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -63,13 +66,16 @@ def byte_class(kind: str) -> np.ndarray:
 
 
 class Hasher:
-    """Words of texts and their 64-bit hashes, without a loop over words."""
+    """Words of texts and their 64-bit hashes, without a loop over words of up to SHORT bytes."""
 
     def __init__(self, kind: str, lower: bool, seed: int = 7):
         self.word = byte_class(kind)
         self.value = _splitmix(256, seed)
+        self.lower, self.seed = lower, seed
+        self.lowered = np.arange(256, dtype=np.uint8)
         if lower:
             self.value[0x41:0x5B] = self.value[0x61:0x7B]
+            self.lowered[0x41:0x5B] = self.lowered[0x61:0x7B]
         self.power = self.inverse = np.ones(0, dtype=U64)
         self.base = int(_splitmix(1, seed + 1)[0])
 
@@ -113,8 +119,11 @@ class Hasher:
                 self._powers(to - at + 1)
                 total = np.zeros(to - at + 1, dtype=U64)
                 np.cumsum(self.value[part] * self.power[: to - at], out=total[1:])
-                h = (total[e] - total[s]) * self.inverse[s]
-                hashes.append(mix(h + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)))
+                h = mix((total[e] - total[s]) * self.inverse[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
+                if len(long := np.flatnonzero(e - s > SHORT)):
+                    raw = (self.lowered[part] if self.lower else part).tobytes()
+                    h[long] = [xxhash.xxh3_64_intdigest(raw[a:z], self.seed) for a, z in zip(s[long].tolist(), e[long].tolist(), strict=True)]
+                hashes.append(h)
                 starts.append(s + at)
                 ends.append(e + at)
             at = to
