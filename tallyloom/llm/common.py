@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,6 +81,39 @@ def typed(docs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     return docs.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns])
 
 
+def digest_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest): rows are told apart by doc_id and digest, so that rows that repeat a doc_id, or have none, are documents of their own."""
+    return typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("digest", digest_of())
+
+
+def bitmap(places: DataFrame, size: int) -> np.ndarray:
+    """size booleans: which numbers from 0 to size - 1 are in places (place long). Tasks put their own bits together first, so that what is sent is bounded by size, whatever the table."""
+    at = F.col("place") + 1
+    rows = places.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(size + (1 << 15), dtype=bool)
+    for r in rows:
+        out[(r.bucket - 1) << 15 : r.bucket << 15] = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")[: 1 << 15]
+    return out[:size]
+
+
+def among(rows: DataFrame, place: str, marks: np.ndarray) -> DataFrame:
+    """The rows whose place is marked; filtered where they are read."""
+    bits, at = np.packbits(marks).tobytes(), rows.columns.index(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+        for b in batches:
+            keep = wanted[np.asarray(b.column(at))]
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def added_up(parts: DataFrame) -> np.ndarray | None:
     """The sum of arrays of doubles of one size, from rows (total binary): first in MERGERS tasks, then here."""
 
