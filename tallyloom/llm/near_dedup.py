@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import released, typed, written
+from .common import among, bitmap, digest_of, identified, released, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,8 +41,10 @@ WORDS, PLACES, CHUNK = 5, 64, 4
 DISTANCE = 2 * (PLACES // CHUNK) - 1
 #: Members and shingles of a block at most, unless one member alone has more.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Documents of one key that are compared in one group.
-TILE = 2048
+#: Documents of one key that are compared in one group; documents that ask in one copy of a block.
+TILE, ASKERS = 2048, 1024
+#: Entries of the map by which texts that are in no block are left out where they are read.
+MARKS = 1 << 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +65,6 @@ def fingerprint(unique: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(unique.tobytes()) - (1 << 63)
 
 
-def digest_of(text: str = "text") -> Column:
-    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
-
-
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, digest): rows are told apart by doc_id and digest, so that rows that repeat a doc_id, or have none, are documents of their own."""
-    return typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("digest", digest_of())
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n_shingles, node, sig): digest is of the text, node identifies the set (null for an empty one), sig is its signature."""
 
@@ -327,7 +320,7 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     own = written(signatures(docs), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     nodes = own.where("node is not null").groupBy("node").agg(F.min(name).alias("name"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select("node", "name.doc_id", "name.digest", "sig", "n_shingles")
-    keys = index_keys(nodes)
+    keys = index_keys(nodes).repartition("key")  # dealt once, for the counts and for the join
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = written(keys.join(shared, "key"), "members")
     votes = members.groupBy("node", "centre").agg(F.count("*").alias("n"))
@@ -335,7 +328,9 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     placed = cluster.join(nodes, "node")
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     placed = written(placed.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "digest", "sig", "block"), "placed")
-    texts = identified(docs).toDF("t_id", "text", "t_digest")
+    place = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
+    texts = among(identified(docs).withColumn("place", place), "place", bitmap(placed.select(place.alias("place")), MARKS))
+    texts = texts.select(F.col("doc_id").alias("t_id"), "text", F.col("digest").alias("t_digest"))
     members_text = written(placed.join(texts, (placed.digest == texts.t_digest) & placed.doc_id.eqNullSafe(texts.t_id)).select("node", "block", "sig", "text"), "texts")
 
     asks = lambda yes: F.lit(yes).alias("asks")
@@ -346,8 +341,11 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     several = written(members.select("key", "node").join(grouped.select("node", "grp"), "node").groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "several")
     at = tiled(members.select("key", "left_out", "node").join(grouped, "node"), several).join(nodes.select("node", "sig"), "node")
     questions = written(neighbours(at.select("key", "left_out", "tile", "tiles", "first", "parts", "node", "block", "grp", "sig")).distinct().join(grouped.select("node", "grp"), "node"), "questions")
-    asking = questions.join(members_text.select("node", "sig", "text"), "node").select("block", asks(True), "node", "grp", "sig", "text")
-    asked = questions.select("block").distinct().join(members_text.join(grouped.select("node", "grp"), "node"), "block").select("block", asks(False), "node", "grp", "sig", "text")
+    # a block that many ask is copied, so that each copy has ASKERS at most, about
+    copies = questions.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).alias("copies"))
+    copy_of = lambda number: F.xxhash64("block", number).alias("block")
+    asking = questions.join(copies, "block").join(members_text.select("node", "sig", "text"), "node").select(copy_of(F.pmod("node", "copies")), asks(True), "node", "grp", "sig", "text")
+    asked = copies.join(members_text.join(grouped.select("node", "grp"), "node"), "block").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1L)"))).select(copy_of("copy"), asks(False), "node", "grp", "sig", "text")
     outer = block_links(asked.union(asking), False, percent)
     all_links = written(inner.union(outer), "links")
     reached = components(all_links)
