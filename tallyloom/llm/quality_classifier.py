@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import added_up, released, typed, written
+from .common import added_up, among, bitmap, released, typed, written
 from .quality_rules import Stats, _hashers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES, RIDGE, BINS, THRESHOLD = 192, 1e-2, 1024, 0.3
+#: Entries of the map by which texts without a label are left out of the fit.
+MARKS = 1 << 24
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray, hashers: dict[str, K.Hasher]) -> np.ndarray:
@@ -76,23 +77,16 @@ class Model:
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of each text as packed doubles."""
-    return _with_statistics(typed(docs, ("doc_id", "long"), ("text", "string")), "x").select("doc_id", "x")
-
-
-def _with_statistics(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a further column of that name, the statistics of text."""
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = _hashers()
         for b in batches:
-            data, offsets = K.column(b.column(at))
+            data, offsets = K.column(b.column(1))
             for lo, hi in K.spans(offsets):
                 x = statistics(data, offsets[lo : hi + 1], hashers)
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in x], pa.binary())], [*b.schema.names, name])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, x binary")
 
 
 def _matrix(array: pa.Array) -> np.ndarray:
@@ -187,22 +181,23 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts count as empty and are judged like any other; so are rows that
     repeat a doc_id or have none. Without any label to learn from all rows stay,
-    and an empty table stays empty. Statistics are taken once, into a table of
-    the rows with them.
+    and an empty table stays empty. For the fit, statistics are taken of texts
+    with a label alone (of a few more, where doc_ids share a place in the map of
+    those), so that each text's are taken once, and those of labelled ones twice.
     """
-    name = "x"
-    while name in docs.columns:
-        name += "_"
-    rows = written(_with_statistics(docs, name), "described", kept=True)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     with released(docs.sparkSession):
-        model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("x")), labels)
-    at = len(docs.columns)
+        marks = bitmap(typed(labels, ("doc_id", "long")).select(place.alias("place")), MARKS)
+        known = among(typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("place", place), "place", marks)
+        model = fit(described(known), labels)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = _hashers()
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                p = b.slice(lo, 4096)
-                good = model.score(_matrix(p.column(at))) >= THRESHOLD
-                yield pa.RecordBatch.from_arrays(p.columns[:at], b.schema.names[:at]).filter(pa.array(good))
+            data, offsets = K.column(b.column(at))
+            for lo, hi in K.spans(offsets):
+                good = model.score(statistics(data, offsets[lo : hi + 1], hashers)) >= THRESHOLD
+                yield b.slice(lo, hi - lo).filter(pa.array(good))
 
-    return rows.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
