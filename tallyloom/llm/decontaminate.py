@@ -1,13 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is split by documents: a segment holds some megabytes of text as its
-sorted terms and, for each, the ascending positions at which it stands. Segments
-are stored as a table, so an index that was built once answers for any
-benchmark. A search takes each window of a benchmark item to every segment:
-its terms are put in order of their number of postings there, the list of the
-rarest gives the places where the window might begin, and the list of each
-further term, shifted by the term's offset, is intersected with those. With a
-slack, a term may stand that many words from its place: a proximity match.
+A segment of the index holds some megabytes of text as its sorted terms and, for
+each, the ascending positions at which it stands. Segments are stored as a
+table, so an index that was built once answers for any benchmark.
+
+A search works on tables throughout. The postings counts (term, segment, count)
+of the benchmark's terms give each term's frequency in the corpus; a window of
+which some term occurs nowhere goes, and the rarest term of each of the others
+is joined with the segments that have it. Those segments alone are searched for
+the window: its terms are put in order of their number of postings there, the
+list of the rarest gives the places where the window might begin, and the list
+of each further term, shifted by the term's offset, is intersected with those.
+With a slack, a term may stand that many words from its place: a proximity
+match. Neither the size of the benchmark nor that of the corpus has a limit.
 """
 
 from __future__ import annotations
@@ -18,28 +23,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import typed, written
+from .common import bitmap, digest_of, identified, released, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW, SLACK = 13, 1
 #: Positions that are left free between documents, more than a window and its slack.
 GAP = 64
-#: The benchmark goes to every task; one with more characters has to be searched for in parts.
-MOST_CHARS = 64 << 20
-SEGMENT = "doc_ids array<long>, starts binary, terms binary, counts binary, positions binary"
+#: Bits of a term's hash by which segments leave out terms that the benchmark lacks; a map of so many entries goes to the tasks, whatever the benchmark.
+MARKS = 22
+#: Windows that are searched for in a segment at a time, about.
+TOGETHER = 4096
+SEGMENT = "segment long, doc_ids array<long>, digests array<binary>, starts binary, terms binary, counts binary, positions binary"
+SPANS = "array<struct<start:long,length:long>>"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Segments of the documents in docs (doc_id, text); documents without words are in them as well."""
+    """Segments of the documents in docs (doc_id, text); documents without words are in them as well. Their numbers hold once the index is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = K.Hasher("alnum", lower=True)
+        hasher, number = K.Hasher("alnum", lower=True), TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = K.column(b.column(1))
             for lo, hi in K.spans(offsets):
@@ -50,38 +58,95 @@ def build_index(docs: DataFrame) -> DataFrame:
                 h = h[order]
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
                 counts = np.diff(np.concatenate([new, [len(h)]])).astype(np.uint32)
-                ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(0).slice(lo, hi - lo))
+                ids = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(k).slice(lo, hi - lo)) for k in (0, 2)]
                 blobs = [pa.array([x.tobytes()], pa.binary()) for x in (starts, h[new], counts, position[order])]
-                yield pa.RecordBatch.from_arrays([ids, *blobs], ["doc_ids", "starts", "terms", "counts", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *ids, *blobs], ["segment", "doc_ids", "digests", "starts", "terms", "counts", "positions"])
+                number += 1
+
+    return identified(docs).mapInArrow(run, SEGMENT)
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(terms, item): the windows of each item as packed hashes of their words; item is null where item_id is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = K.Hasher("alnum", lower=True)
+        for b in batches:
+            data, offsets = K.column(b.column(1))
+            names = b.column(0).to_pylist()
+            for lo, hi in K.spans(offsets, K.SLICE):
+                _, _, h, first = hasher.words(data, offsets[lo : hi + 1])
+                raw = h.tobytes()
+                for i in range(hi - lo):
+                    begin, end = int(first[i]), int(first[i + 1])
+                    size = min(window, end - begin)
+                    own = list({raw[8 * j : 8 * (j + size)] for j in range(begin, end - size + 1)}) if size else []
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([names[lo + i]] * len(own), pa.string())], ["terms", "item"])
+
+    return benchmark.select(F.col("`item_id`").cast("long").cast("string").alias("item"), F.col("`text`").cast("string").alias("text")).mapInArrow(run, "terms binary, item string").distinct()
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, SEGMENT)
+
+def terms_of(rows: DataFrame) -> DataFrame:
+    """(terms, place, term) of distinct windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = K.column(b.column(0))
+            size = np.diff(offsets) // 8
+            term = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(term)], ["terms", "place", "term"])
+
+    return rows.select("terms").mapInArrow(run, "terms binary, place int, term long")
+
+
+def posting_counts(index: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(term, segment, count) of the index's terms whose first bits are marked."""
+    bits = np.packbits(marks).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+        for b in batches:
+            for i in range(b.num_rows):
+                terms, counts = np.frombuffer(b.column(1)[i].as_buffer(), dtype=np.uint64), np.frombuffer(b.column(2)[i].as_buffer(), dtype=np.uint32)
+                keep = wanted[(terms >> K.U64(64 - MARKS)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(terms[keep].view(np.int64)), pa.array([b.column(0)[i].as_py()] * int(keep.sum()), pa.int64()), pa.array(counts[keep].astype(np.int64))], ["term", "segment", "n"])
+
+    return index.select("segment", "terms", "counts").mapInArrow(run, "term long, segment long, n long")
+
+
+def asked_segments(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(segment, asked): for each segment the distinct windows in wanted (terms) that may occur there, in lists of TOGETHER or so."""
+    terms = written(terms_of(wanted), "window-terms")
+    vocabulary = terms.select("term").distinct()
+    marks = bitmap(vocabulary.select(F.shiftrightunsigned("term", 64 - MARKS).alias("place")), 1 << MARKS)
+    counts = written(posting_counts(index, marks).join(vocabulary, "term"), "counts")
+    total = counts.groupBy("term").agg(F.sum("n").alias("n"))
+    found = terms.join(total, "term").groupBy("terms").agg(F.count("*").alias("have"), F.min(F.struct("n", "term")).alias("rarest"))
+    rarest = found.where(F.col("have") * 8 == F.octet_length("terms")).select("terms", F.col("rarest.term").alias("term"))
+    lists = max(1, -(-wanted.count() // TOGETHER))
+    pairs = rarest.join(counts.select("term", "segment"), "term")
+    return pairs.groupBy("segment", F.pmod(F.xxhash64("terms"), F.lit(lists)).alias("list")).agg(F.collect_list("terms").alias("asked")).select("segment", "asked")
 
 
 @dataclass
 class Queries:
-    """Distinct windows: terms of each (padded), its length, and the items that have it."""
+    """Distinct windows: terms of each (padded with -1), as numbers of vocabulary, and its length."""
 
     vocabulary: np.ndarray
     terms: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
-
-
-def queries(items: list[tuple[object, str | None]], window: int = WINDOW) -> Queries:
-    hasher, found = K.Hasher("alnum", lower=True), {}
-    for name, text in items:
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        h = hasher.words(raw, np.array([0, len(raw)]))[2]
-        size = min(window, len(h))
-        for i in range(len(h) - size + 1 if size else 0):
-            found.setdefault(h[i : i + size].tobytes(), set()).update([str(name)] if name is not None else [])
-    rows = [np.frombuffer(x, dtype=np.uint64) for x in found]
-    lengths = np.array([len(x) for x in rows], dtype=np.int64)
-    vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.uint64)
-    terms = np.full((len(rows), window), -1, dtype=np.int64)
-    for i, x in enumerate(rows):
-        terms[i, : len(x)] = np.searchsorted(vocabulary, x)
-    return Queries(vocabulary, terms, lengths, [sorted(x) for x in found.values()])
+
+    @classmethod
+    def of(cls, packed: list[bytes]) -> Queries:
+        rows = [np.frombuffer(x, dtype=np.uint64) for x in packed]
+        lengths = np.array([len(x) for x in rows], dtype=np.int64)
+        vocabulary, at = np.unique(np.concatenate(rows), return_inverse=True)
+        terms = np.full((len(rows), int(lengths.max())), -1, dtype=np.int64)
+        terms[np.arange(terms.shape[1]) < lengths[:, None]] = at.ravel()
+        return cls(vocabulary, terms, lengths)
 
 
 def occurrences(q: Queries, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,66 +191,102 @@ def occurrences(q: Queries, terms: np.ndarray, counts: np.ndarray, positions: np
     return alive[window], start, exact
 
 
-def search(index: DataFrame, q: Queries, slack: int = SLACK) -> DataFrame:
-    """Per document of the index: doc_id, n_words, n_hit, items and near_items (sorted as strings), hits (struct of the first word's number and the length, for each exact match)."""
+def hits(index: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
+    """(segment, at, terms, exact) for each window and the number of a document in its segment that has it, and (segment, at, spans) with the words that exact matches of a list of windows cover there: (start, length) from the first word, apart and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids = b.column(0)[i].values
                 starts, terms, counts, positions = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((1, np.int64), (2, np.uint64), (3, np.uint32), (4, np.uint32)))
+                packed = b.column(5)[i].as_py()
+                q = Queries.of(packed)
                 window, start, exact = occurrences(q, terms, counts, positions, slack)
-                doc = np.searchsorted(starts, start + slack, "right") - 1
-                if slack:  # the place of a near match may lie before its document
-                    doc = np.where(exact, np.searchsorted(starts, start, "right") - 1, np.minimum(doc, len(ids) - 1))
-                n = len(ids)
-                items, near, hits = [set() for _ in range(n)], [set() for _ in range(n)], [set() for _ in range(n)]
-                edge = np.zeros(int(starts[-1]) + WINDOW + 1, dtype=np.int64)
-                for w, s, e, d in zip(window.tolist(), start.tolist(), exact.tolist(), doc.tolist(), strict=True):
-                    near[d].update(q.items[w])
-                    if e:
-                        items[d].update(q.items[w])
-                        length = int(q.lengths[w])
-                        hits[d].add((s - int(starts[d]), length))
-                        edge[s] += 1
-                        edge[s + length] -= 1
-                covered = np.zeros(len(edge) + 1, dtype=np.int64)
-                np.cumsum(np.cumsum(edge) > 0, out=covered[1:])
-                n_words = np.diff(starts) - GAP
-                columns = [ids, pa.array(n_words), pa.array(covered[starts[:-1] + n_words] - covered[starts[:-1]]), *[pa.array([sorted(x) for x in xs], pa.list_(pa.string())) for xs in (items, near)]]
-                spans = pa.array([[{"start": s, "length": k} for s, k in sorted(x)] for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*columns, spans], ["doc_id", "n_words", "n_hit", "items", "near_items", "hits"])
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, hits array<struct<start:long,length:long>>")
-
-
-def read_queries(benchmark: DataFrame, window: int = WINDOW) -> Queries:
-    rows = typed(benchmark, ("item_id", "long"), ("text", "string"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MOST_CHARS:
-        raise ValueError(f"the benchmark has {size} characters; split it into parts of {MOST_CHARS} and search for each")
-    return queries([tuple(r) for r in rows.collect()], window)
+                if not len(window):
+                    continue
+                # the place of a near match may lie before its document
+                doc = np.where(exact, np.searchsorted(starts, start, "right"), np.searchsorted(starts, start + slack, "right")) - 1
+                doc = np.minimum(doc, len(starts) - 2)
+                pairs = np.unique(np.stack([doc, window, exact]), axis=1)
+                n = pairs.shape[1]
+                rows = [[int(x) for x in pairs[0]], [packed[w] for w in pairs[1]], pairs[2].astype(bool).tolist(), [None] * n]
+                edge = np.zeros(int(starts[-1]) + q.terms.shape[1] + 1, dtype=np.int64)
+                np.add.at(edge, start[exact], 1)
+                np.add.at(edge, start[exact] + q.lengths[window[exact]], -1)
+                inside = np.concatenate([[False], np.cumsum(edge) > 0])
+                first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+                of = np.searchsorted(starts, first, "right") - 1
+                for d in np.unique(of).tolist():
+                    own = of == d
+                    rows[0].append(d), rows[1].append(None), rows[2].append(None)
+                    rows[3].append([{"start": s - int(starts[d]), "length": k} for s, k in zip(first[own].tolist(), (last[own] - first[own]).tolist(), strict=True)])
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(rows[0]), pa.int64()), *[pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.bool_(), kind), strict=True)]], ["segment", "at", "terms", "exact", "spans"])
+
+    both = index.join(asked, "segment").select("segment", "starts", "terms", "counts", "positions", "asked")
+    return both.mapInArrow(run, f"segment long, at long, terms binary, exact boolean, spans {SPANS}")
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """(segment, at, doc_id, digest, n_words) of every document of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, digests, starts = b.column(1)[i].values, b.column(2)[i].values, np.frombuffer(b.column(3)[i].as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), ids, digests, pa.array(np.diff(starts) - GAP)], ["segment", "at", "doc_id", "digest", "n_words"])
+
+    return index.select("segment", "doc_ids", "digests", "starts").mapInArrow(run, "segment long, at long, doc_id long, digest binary, n_words long")
+
+
+def _covered(ordered: Column) -> Column:
+    """How many words the spans, in order of their starts, cover."""
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x.start + x.length
+        return F.struct((acc.words + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["to"], x.start))).alias("words"), F.greatest(acc["to"], end).alias("to"))
+
+    return F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("words"), F.lit(-1).cast("long").alias("to")), step, lambda acc: acc.words)
+
+
+def search(index: DataFrame, benchmark: DataFrame, slack: int = SLACK, window: int = WINDOW) -> DataFrame:
+    """Per document of a written index: doc_id, digest, n_words, n_hit, items and near_items (sorted as strings), spans (start and length in words of what exact matches cover; matches that different lists of windows found may overlap)."""
+    with released(index.sparkSession):
+        named = written(windows(benchmark, window), "windows")
+        asked = written(asked_segments(index, written(named.select("terms").distinct(), "distinct-windows")), "asked")
+        found = written(hits(index, asked, slack), "hits")
+        cover = found.where("spans is not null").groupBy("segment", "at").agg(F.collect_list("spans").alias("lists"))
+        cover = cover.select("segment", "at", F.array_sort(F.flatten("lists")).alias("spans")).withColumn("n_hit", _covered(F.col("spans")))
+        of = found.where("terms is not null").join(named.where("item is not null"), "terms").select("segment", "at", "item", "exact").groupBy("segment", "at", "item").agg(F.bool_or("exact").alias("exact"))
+        items = of.groupBy("segment", "at").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_list("item")).alias("near_items"))
+        verdicts = written(cover.join(items, ["segment", "at"], "full"), "verdicts", kept=True)
+    out = documents(index).join(verdicts, ["segment", "at"], "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items, near_items, hits, contaminated.
+    """Per row of docs (doc_id, text): doc_id, digest (of the text), n_words, n_hit, items, near_items, spans, contaminated.
 
     Texts are lower-cased (A-Z); words are digits, letters and whatever is
     beyond ASCII. A window is WINDOW consecutive words of an item, or all words
     of a shorter one; items without words have none. contaminated: a twentieth
     or more of the words are hit. Null has no words. Repeated rows are judged
-    each by itself, as are rows with a null doc_id; an item with a null item_id
-    hits words but isn't named; empty tables hit nothing. Further columns aren't
-    looked at.
+    each by itself, as are rows with a null doc_id, and ties among items are
+    all named; an item with a null item_id hits words but isn't named; empty
+    tables hit nothing. Further columns aren't looked at.
     """
-    found = search(written(build_index(docs), "positions"), read_queries(benchmark), slack)
+    found = search(written(build_index(docs), "positions", kept=True), benchmark, slack)
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns as they are, without those whose doc_id is contaminated; rows without a doc_id can't be told apart, so they stay."""
-    found = contamination(docs, benchmark, slack=0).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    out = written(found, "contaminated")
-    return docs.join(out, docs["doc_id"].cast("long") == out.dropped_id, "left_anti")
+    """The rows of docs, with their columns as they are, without those whose text is contaminated.
+
+    Rows are told apart by doc_id and text, so that a clean text stays that has
+    a contaminated one's doc_id, or none. Empty tables stay empty, and an empty
+    benchmark removes nothing.
+    """
+    with released(docs.sparkSession):
+        bad = contamination(docs, benchmark, slack=0).where("contaminated").select(F.col("doc_id").alias("_of_id"), F.col("digest").alias("_of_digest")).distinct()
+        bad = written(bad, "contaminated", kept=True)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_of_id"]) & digest_of().eqNullSafe(bad["_of_digest"]), "left_anti")
