@@ -15,25 +15,24 @@ joined to it by word, so that no task ever holds the whole vocabulary.
 from __future__ import annotations
 
 import sys
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import MERGERS, added_up, typed, written
+from .common import MERGERS, added_up, released, typed, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATES, TOP, HASHED = 6, 1500, 250
-#: Passes of Baum-Welch, each over all training texts.
-PASSES = 14
+#: Passes of Baum-Welch at most, each over all training texts, and the gain in log10 a token under which a pass was the last.
+PASSES, SETTLED = 20, 1e-3
 #: Longest run of tokens in training: a text beyond it is trained in runs that are worked on side by side; the state is carried over their borders.
 RUN = 256
 #: Bytes of text in a block.
@@ -48,10 +47,10 @@ def _learnt(doc_id: int | None) -> bool:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_ids, lengths, words, counts, tokens): the texts of a block as numbers of its distinct words, which ascend; the ends aren't among the tokens. counts: of the words in training texts."""
+    """(block, doc_ids, lengths, words, counts, tokens): the texts of a block as numbers of its distinct words, which ascend; the ends aren't among the tokens. counts: of the words in training texts of the block, which is one Arrow batch at most. A block's number holds once it is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = K.Hasher("space", lower=True)
+        hasher, number = K.Hasher("space", lower=True), TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = K.column(b.column(1))
             for lo, hi in K.spans(offsets, BLOCK):
@@ -60,11 +59,12 @@ def blocks(docs: DataFrame) -> DataFrame:
                 ids = b.column(0).slice(lo, hi - lo)
                 learnt = np.array([_learnt(x) for x in ids.to_pylist()], dtype=bool)
                 counts = np.bincount(tokens.ravel()[np.repeat(learnt, np.diff(first))], minlength=len(words))
-                arrays = [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids)]
+                arrays = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids)]
                 arrays += [pa.array([x.tobytes()], pa.binary()) for x in (np.diff(first), words, counts.astype(np.uint32), tokens.ravel().astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", "lengths", "words", "counts", "tokens"])
+                number += 1
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "block string, doc_ids array<long>, lengths binary, words binary, counts binary, tokens binary")
+    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "block long, doc_ids array<long>, lengths binary, words binary, counts binary, tokens binary")
 
 
 def dealt(own: DataFrame, bits: int) -> DataFrame:
@@ -80,9 +80,9 @@ def dealt(own: DataFrame, bits: int) -> DataFrame:
                 ends = np.append(first[1:], len(words))
                 cut = [(int(share[a]), words[a:z].tobytes(), counts[a:z].tobytes()) for a, z in zip(first, ends, strict=True)]
                 if cut:
-                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(cut)), *[pa.array([c[k] for c in cut], pa.binary()) for k in (1, 2)]], ["share", "block", "words", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(cut), pa.int64()), *[pa.array([c[k] for c in cut], pa.binary()) for k in (1, 2)]], ["share", "block", "words", "counts"])
 
-    return own.select("block", "words", "counts").mapInArrow(run, "share long, block string, words binary, counts binary")
+    return own.select("block", "words", "counts").mapInArrow(run, "share long, block long, words binary, counts binary")
 
 
 def corpus_counts(shares: DataFrame) -> DataFrame:
@@ -94,12 +94,13 @@ def corpus_counts(shares: DataFrame) -> DataFrame:
         def answer() -> pa.RecordBatch:
             words = np.concatenate([w for _, w, _ in held])
             distinct, back = np.unique(words, return_inverse=True)
-            total = np.bincount(back.ravel(), weights=np.concatenate([c for _, _, c in held]), minlength=len(distinct)).astype(np.int64)
+            total = np.zeros(len(distinct), dtype=np.int64)
+            np.add.at(total, back.ravel(), np.concatenate([c for _, _, c in held]))
             ends = np.cumsum([len(w) for _, w, _ in held])
-            each = [x.astype(np.uint32).tobytes() for x in np.split(total[back.ravel()], ends[:-1])]
+            each = [x.tobytes() for x in np.split(total[back.ravel()], ends[:-1])]
             seen = total > 0
             n = len(held) + 1
-            return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([x for x, _, _ in held] + [None], pa.string()), pa.array([None] * len(held) + [distinct[seen].tobytes()], pa.binary()), pa.array([*each, total[seen].astype(np.uint32).tobytes()], pa.binary())], ["share", "block", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([x for x, _, _ in held] + [None], pa.int64()), pa.array([None] * len(held) + [distinct[seen].tobytes()], pa.binary()), pa.array([*each, total[seen].tobytes()], pa.binary())], ["share", "block", "words", "counts"])
 
         for b in batches:
             for share, block, words, counts in zip(*[b.column(k) for k in range(4)], strict=True):
@@ -111,7 +112,7 @@ def corpus_counts(shares: DataFrame) -> DataFrame:
         if held:
             yield answer()
 
-    return shares.repartition("share").sortWithinPartitions("share").mapInArrow(run, "share long, block string, words binary, counts binary")
+    return shares.repartition("share").sortWithinPartitions("share").mapInArrow(run, "share long, block long, words binary, counts binary")
 
 
 @dataclass
@@ -151,7 +152,7 @@ def vocabulary(counted: DataFrame, ends: int) -> Vocabulary:
         top, top_counts, sums = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros((2, HASHED))
         for b in batches:
             for i in range(b.num_rows):
-                words, counts = np.frombuffer(b.column(0)[i].as_buffer(), dtype=np.uint64), np.frombuffer(b.column(1)[i].as_buffer(), dtype=np.uint32).astype(np.int64)
+                words, counts = np.frombuffer(b.column(0)[i].as_buffer(), dtype=np.uint64), np.frombuffer(b.column(1)[i].as_buffer(), dtype=np.int64)
                 tail = (words % K.U64(HASHED)).astype(np.int64)
                 sums += [np.bincount(tail, weights=counts, minlength=HASHED), np.bincount(tail, minlength=HASHED)]
                 top, top_counts = best(np.concatenate([top, words]), np.concatenate([top_counts, counts]))
@@ -185,7 +186,7 @@ def coded(own: DataFrame, counted: DataFrame, known: Vocabulary) -> DataFrame:
             for i in range(b.num_rows):
                 lengths, words, tokens = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((1, np.int64), (2, np.uint64), (3, np.uint32)))
                 parts = sorted(b.column(4)[i].as_py() or [], key=lambda x: x["share"])
-                count = np.frombuffer(b"".join(x["counts"] for x in parts), dtype=np.uint32).astype(np.int64)
+                count = np.frombuffer(b"".join(x["counts"] for x in parts), dtype=np.int64)
                 of = known.classes(words)
                 tail = of.astype(np.int64) - TOP
                 hashed = tail >= 0
@@ -227,7 +228,7 @@ class Hmm:
     def from_counts(cls, total: np.ndarray, share: np.ndarray) -> Hmm:
         """Expected counts with a little of the shares added, so that no class is impossible in a state."""
         k, c = STATES, len(share)
-        start, move, emit = total[:k] + 0.01, total[k : k + k * k].reshape(k, k) + 0.01, total[k + k * k :].reshape(k, c) + 0.5 * share * np.sqrt(c)
+        start, move, emit = total[:k] + 0.01, total[k : k + k * k].reshape(k, k) + 0.01, total[k + k * k : k + k * k + k * c].reshape(k, c) + 0.5 * share * np.sqrt(c)
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
@@ -288,11 +289,11 @@ def _borders(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarra
 
 
 def expected(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-    """Baum-Welch counts of runs of classes, all of one token at least. place: of each run in its text, whose runs follow one another; without it each run is a text."""
+    """Baum-Welch counts of runs of classes, all of one token at least, then their log10 probability and their number of tokens. place: of each run in its text, whose runs follow one another; without it each run is a text."""
     k = STATES
     place = np.zeros(len(size), dtype=np.int64) if place is None else place
     before, after = _borders(model, classes, start, size, place)
-    first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1]))
+    first, move, emit, fit = np.zeros(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1])), 0.0
     for x, pick in _padded(classes, start, size):
         steps, width = x.shape
         live = (x >= 0).sum(axis=1)
@@ -307,6 +308,7 @@ def expected(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarra
             s = a.sum(axis=0)
             scale[t, :n] = s
             alpha[:, t, :n] = a / s
+        fit += float(np.log10(scale).sum())
         beta = after[:, pick]
         beta /= (alpha[:, size[pick] - 1, np.arange(width)] * beta).sum(axis=0)
         for t in range(steps - 1, -1, -1):
@@ -323,7 +325,7 @@ def expected(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarra
         flat = (x + 1).ravel()
         for s in range(k):
             emit[s] += np.bincount(flat, weights=alpha[s].ravel(), minlength=emit.shape[1] + 1)[1:]
-    return np.concatenate([first, move.ravel(), emit.ravel()])
+    return np.concatenate([first, move.ravel(), emit.ravel(), [fit, size.sum()]])
 
 
 def likelihood(model: Hmm, classes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -365,10 +367,11 @@ def _training(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return classes, *_runs(width[learnt])
 
 
-def fit(texts: DataFrame, share: np.ndarray, passes: int = PASSES) -> Hmm:
+def fit(texts: DataFrame, share: np.ndarray, passes: int = PASSES, settled: float = SETTLED) -> Hmm:
+    """A model trained on all training texts, until a pass has gained less than settled a token."""
     rows = texts.select("doc_ids", "lengths", "classes")
 
-    model = Hmm.first(share)
+    model, before = Hmm.first(share), -np.inf
     for _ in range(passes):
 
         def expect(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
@@ -386,6 +389,10 @@ def fit(texts: DataFrame, share: np.ndarray, passes: int = PASSES) -> Hmm:
         if total is None:
             break
         model = Hmm.from_counts(total, share)
+        now = total[-2] / total[-1]
+        if now - before < settled:
+            break
+        before = now
     return model
 
 
@@ -395,16 +402,19 @@ def lm_scores(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     Null texts count as empty: one token, the end. Rows whose crc32(doc_id as
     text) mod 7 is 2 are held out; a null doc_id is held out, too. Rows that
     repeat a doc_id count and are scored each by itself; an empty table gives an
-    empty result; further columns aren't looked at.
+    empty result; further columns aren't looked at. Words of the same count are
+    ranked by their hash. How rows are dealt to tasks matters no further than the
+    order of sums does.
     """
-    own = written(blocks(docs), "blocks")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] / 8
-    bits = max(4, int(np.ceil(np.log2(size / WORDS_OF_SHARE + 1))))
-    counted = written(corpus_counts(dealt(own, bits)), "counts")
-    crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
-    ends = own.select(F.explode("doc_ids").alias("doc_id")).where(crc != 2).count()
-    known = vocabulary(counted, ends)
-    texts = written(coded(own, counted, known), "classes")
+    with released(docs.sparkSession):
+        own = written(blocks(docs), "blocks")
+        size = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] / 8
+        bits = max(4, int(np.ceil(np.log2(size / WORDS_OF_SHARE + 1))))
+        counted = written(corpus_counts(dealt(own, bits)), "counts")
+        crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+        ends = own.select(F.explode("doc_ids").alias("doc_id")).where(crc != 2).count()
+        known = vocabulary(counted, ends)
+        texts = written(coded(own, counted, known), "classes", kept=True)
     model = fit(texts, known.share(), passes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
