@@ -1,8 +1,8 @@
 """SentencePiece encoding as a max-plus scan, and decoding.
 
 A text's best segmentation into pieces is a longest path: the value of a
-position is the best sum of piece scores up to it, an integer, so that sums are
-exact and may be grouped at will. Of equal segmentations the one whose last
+position is the best sum of piece scores up to it, as an integer multiple of
+1 / UNIT, so that sums are exact and may be grouped at will. Of equal segmentations the one whose last
 piece is longest is taken, from the end backwards.
 
 No piece spans certain pairs of characters (letter and blank, say); the path
@@ -15,6 +15,10 @@ values at every border; with them each chunk traces back by itself from each
 state at its end, and composing these traces from the last chunk on tells which
 one holds.
 
+A model file may as well say that its pieces are merged by byte-pair encoding,
+which is greedy and has no best path; library_ids gives those ids. Merges don't
+span cuts either, so it works on the same units.
+
 Blanks become U+2581 and a first one is put before the text, as the library
 does. Characters without a piece go by bytes, and so does U+2581 itself, which
 makes decoding exact.
@@ -22,12 +26,14 @@ makes decoding exact.
 
 from __future__ import annotations
 
+import heapq
 import sys
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +49,8 @@ REMEMBERED = 2_500_000
 #: The blank of pieces; what stands for a U+2581 of the text, which no UTF-8 text has.
 SPACE, LITERAL = "\u2581", "\udc00"
 NONE = -(1 << 60)
+#: Scores are rounded to multiples of 1 / UNIT; one unit lies far below any difference between log probabilities that counts.
+UNIT = 1 << 16
 #: Characters with a code below this have their cuts in a table.
 SMALL = 0x250
 NORMAL, USER, BYTE = 1, 4, 6
@@ -55,14 +63,15 @@ class Pieces:
         usable = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER) and p]
         floor = min((s for _, _, s in usable if s > -1e8), default=0.0)
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.unknown = round(floor) - 10
+        self.unknown = round((floor - 10) * UNIT)
         self.score: dict[str, int | None] = {}
         self.id = {}
+        self.merge = {p: s for _, p, s in usable}
         for i, p, s in usable:
             for k in range(1, len(p)):
                 self.score.setdefault(p[:k], None)
         for i, p, s in usable:
-            self.score[p], self.id[p] = round(max(s, floor - 10)), i
+            self.score[p], self.id[p] = round(max(s, floor - 10) * UNIT), i
         self.longest = max((len(p) for p in self.id), default=1)
         self.raw = [b""] * len(pieces)
         for p, i in self.id.items():
@@ -102,10 +111,10 @@ class Pieces:
                 continue
             single = False
             for k in range(1, min(longest, len(whole) - p) + 1):
-                s = score.get(whole[p : p + k], 0)
+                s = score.get(whole[p : p + k], 1)
                 if s is None:
                     continue
-                if s == 0 and whole[p : p + k] not in score:
+                if s == 1 and whole[p : p + k] not in score:
                     break
                 single |= k == 1
                 if v + s > value[p + k] or v + s == value[p + k] and k > last[p + k]:
@@ -131,6 +140,31 @@ class Pieces:
         value, last = self.forward(unit, "", [0])
         return value[len(unit)], self.trace(unit, "", last, len(unit))[0]
 
+    def merged(self, unit: str) -> tuple[int, list[int]]:
+        """(0, ids) by merging the adjacent pair of the best score, the leftmost of equal ones, as long as there is one."""
+        part, n = list(unit), len(unit)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (s := self.merge.get(part[i] + part[j])) is not None:
+                heapq.heappush(queue, (-s, i, j, len(part[i]) + len(part[j])))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, j, size = heapq.heappop(queue)
+            if not part[i] or not part[j] or len(part[i]) + len(part[j]) != size:
+                continue
+            part[i] += part[j]
+            part[j] = ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return 0, [x for p in part if p for x in self.ids(p)]
+
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return out[1:]
@@ -142,8 +176,10 @@ def escape(text: str) -> str:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    """Ids of whole texts by units, each solved once: by default for the best path."""
+
+    def __init__(self, pieces: Pieces, solver: str = "best"):
+        self.pieces, self.solver = pieces, getattr(pieces, solver)
         self.power = K._splitmix(1, 77)[0]
         self.memo = K.Memo(REMEMBERED)
 
@@ -168,7 +204,7 @@ class Encoder:
 
         def solve(i: int) -> tuple[bytes, int]:
             j = at[i]
-            score, ids = self.pieces.best(joined[start[j] : start[j] + size[j]])
+            score, ids = self.solver(joined[start[j] : start[j] + size[j]])
             return array("I", ids).tobytes(), score
 
         number = self.memo.places(distinct, solve)[back.ravel()]
@@ -336,10 +372,10 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     """
     spark = docs.sparkSession
     pieces = Shared(spark.sparkContext.broadcast(read_model(model)))  # as large as the vocabulary
-    longest = pieces.value.longest
+    longest, mark = pieces.value.longest, xxhash.xxh3_128_hexdigest(repr(pieces.rows.value).encode())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = K.per_worker(("pieces", model, pieces.rows.value[-1]), lambda: Encoder(pieces.value))
+        encoder = K.per_worker(("pieces", mark), lambda: Encoder(pieces.value))
         own = encoder.pieces
         for b in batches:
             _, offsets = K.column(b.column(1))
@@ -375,6 +411,43 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     return short.union(giants.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(joined, "doc_id long, text string, ids binary, decoded string"))
 
 
+def library_ids(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
+    """(doc_id, library_ids): the ids that the sentencepiece library gives for a BPE model file with byte fallback and no normalisation but the blank before the text, packed as in encode.
+
+    Null and empty texts have none; rows that repeat a doc_id are encoded each
+    by itself, and an empty table gives an empty result.
+    """
+    pieces = Shared(docs.sparkSession.sparkContext.broadcast(read_model(model)))  # as large as the vocabulary
+    mark = xxhash.xxh3_128_hexdigest(repr(pieces.rows.value).encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged"))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_library(encoder, b.column(1)), pa.binary())], ["doc_id", "library_ids"])
+
+    return typed(docs, ("doc_id", "long"), (column, "string")).mapInArrow(run, "doc_id long, library_ids binary")
+
+
+def _library(encoder: Encoder, texts: pa.Array) -> list[bytes]:
+    _, offsets = K.column(texts)
+    out = []
+    for lo, hi in K.spans(offsets, K.SLICE):
+        ids = encoder.encode([(" " + x).replace(" ", SPACE) if x else "" for x in texts.slice(lo, hi - lo).to_pylist()])
+        out += [x.astype("<u4").tobytes() for x in ids]
+    return out
+
+
 def sentencepiece_digest(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, ids_crc32, round_trip (whether decoding gives the text)."""
-    return encode(docs, model, chunk).select("doc_id", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    """Per row of docs (doc_id, text): doc_id, n_tokens, ids_crc32, round_trip (whether decoding gives the text), library_tokens, library_crc32 (of library_ids)."""
+    pieces = Shared(docs.sparkSession.sparkContext.broadcast(read_model(model)))  # as large as the vocabulary
+    mark = xxhash.xxh3_128_hexdigest(repr(pieces.rows.value).encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged"))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(_library(encoder, b.column(1)), pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "round_trip", "library_ids"])
+
+    size = lambda c: F.expr(f"cast(octet_length({c}) / 4 as long)")
+    found = encode(docs, model, chunk).select("doc_id", "text", size("ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    found = found.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, library_ids binary")
+    return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip", size("library_ids").alias("library_tokens"), F.crc32("library_ids").alias("library_crc32"))
