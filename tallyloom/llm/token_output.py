@@ -4,7 +4,8 @@ A shard is one blob: a header, the bounds of its documents and their ids, both
 Elias-Fano coded, and the token ids one after the other, two bytes each where
 the vocabulary allows. Shards follow one another in ascending doc_id; each is
 a row of a Parquet table, so that any store Spark writes to will do, and Spark's
-commit protocol makes a lost executor harmless. export() writes them as files.
+commit protocol makes a lost executor harmless. export() writes them as files
+of a shared folder.
 
 A token never spans white space, so that each distinct word between white space
 is encoded once in a worker, as long as that remembers it, and its ids are
@@ -13,6 +14,7 @@ then copied.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import sys
@@ -43,6 +45,12 @@ HEAD = "<4sBQQQqQQ"
 SHARDS = "part int, before long, n_docs long, n_tokens long, payload binary"
 
 
+#: The steps of a tokenizer that WordEncoder stands for, as its file has them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordEncoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
@@ -50,18 +58,19 @@ class WordEncoder:
     white space and splits words as in the pattern below; words of characters
     that those steps treat alike everywhere (ASCII and the letters of Latin-1)
     are split here and their parts given to the library's model, all others go
-    through the library whole.
+    through the library whole. A file with other steps is refused.
     """
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check(blob)
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.model = self.tokenizer.model
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = regex.compile("[\x21-\x7eÀ-ÿ]+")
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.parts = regex.compile(SPLIT)
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -92,6 +101,13 @@ class WordEncoder:
         return ids, np.diff(total[first])
 
 
+def check(blob: bytes) -> None:
+    """Raises ValueError unless the tokenizer's steps are those that WordEncoder stands for."""
+    steps = json.loads(blob)
+    if steps["normalizer"] != NORMALIZER or steps["pre_tokenizer"] != PRE_TOKENIZER or steps.get("truncation"):
+        raise ValueError("the tokenizer normalises or splits text in other ways than this encoder does")
+
+
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, width: int) -> bytes:
     """One shard; doc_ids ascend, nulls first."""
     named = np.array([x for x in doc_ids if x is not None], dtype=np.int64)
@@ -123,7 +139,9 @@ class Shard:
 def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """The shards of docs (doc_id, text), dealt by ranges of doc_id: part and before, the ids of the same part that precede, give the order."""
     spark = docs.sparkSession
-    blob = spark.sparkContext.broadcast(open(tokenizer, "rb").read())
+    with open(tokenizer, "rb") as f:
+        blob = spark.sparkContext.broadcast(f.read())  # a vocabulary
+    check(blob.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.per_worker(("words", hash(blob.value)), lambda: WordEncoder(blob.value))
@@ -153,7 +171,9 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         if names:
             yield shard()
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id").mapInArrow(run, SHARDS)
+    # the place in the table splits rows that repeat a doc_id, or have none, over tasks
+    rows = typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("place", F.monotonically_increasing_id())
+    return rows.repartitionByRange(F.col("doc_id").asc(), F.col("place").asc()).sortWithinPartitions("doc_id", "place").mapInArrow(run, SHARDS)
 
 
 def read_back(table: DataFrame) -> DataFrame:
@@ -166,7 +186,7 @@ def read_back(table: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.column(2)[i].as_buffer())
-                ends = shard.bounds.all()
+                ends = np.array([shard.bounds.select(k) for k in range(shard.n)], dtype=np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = memoryview(shard.ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -176,15 +196,26 @@ def read_back(table: DataFrame) -> DataFrame:
     return table.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def export(table: DataFrame, folder: str) -> list[str]:
-    """The shards as files of the driver, named in order; one is held at a time."""
-    out = []
-    os.makedirs(folder, exist_ok=True)
-    for r in table.orderBy("part", "before").toLocalIterator():
-        out.append(os.path.join(folder, f"tokens-{r.part:06d}-{r.before:015d}.bin"))
-        with open(out[-1], "wb") as f:
-            f.write(r.payload)
-    return out
+def export(table: DataFrame, folder: str) -> DataFrame:
+    """(file, part, before, n_docs, n_tokens): each shard as a file of a folder that all executors see, written by the task that reads it; file names sort in the order of the shards.
+
+    A file appears whole or not at all, and a repeated task writes the same one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            rows = b.to_pydict()
+            rows["file"] = []
+            for part, before, payload in zip(rows["part"], rows["before"], rows.pop("payload"), strict=True):
+                rows["file"].append(os.path.join(folder, f"tokens-{part:06d}-{before:015d}.bin"))
+                half = f"{rows['file'][-1]}.{os.getpid()}"
+                with open(half, "wb") as f:
+                    f.write(payload)
+                os.replace(half, rows["file"][-1])
+            yield pa.RecordBatch.from_pydict({k: rows[k] for k in ("file", "part", "before", "n_docs", "n_tokens")}, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    return table.mapInArrow(run, "file string, part int, before long, n_docs long, n_tokens long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -195,4 +226,4 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     its own ids. An empty table gives an empty result; further columns aren't
     looked at.
     """
-    return read_back(written(shards(docs, tokenizer, end_id), "shards"))
+    return read_back(written(shards(docs, tokenizer, end_id), "shards", kept=True))
