@@ -6,8 +6,10 @@ a short sequence of sentence identifiers with their places; licence rules are
 ordered lists of such identifiers, with a limit to the words between two. The
 longest rule that matches at a place wins it.
 
-Sentences are cut twice: with line feeds as ends, for notices that stand in a
-line of their own, and without (blank lines excepted), for texts that wrap.
+Sentences are cut three times: with line feeds as ends, for notices that stand in
+a line of their own; without (blank lines excepted), for texts that wrap; and at
+colons, for texts in one line. Comment marks and the like are no words, so they
+don't count.
 """
 
 from __future__ import annotations
@@ -38,9 +40,6 @@ SENTENCES = {
     "apache2-obtain-https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
     "apache2-basis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
     "apache2-see": "See the License for the specific language governing permissions and limitations under the License",
-    "mit-notice": "Released under the MIT License",
-    "mit-licensed": "Licensed under the MIT License",
-    "mit-this": "This project is licensed under the MIT License",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-copies": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
@@ -49,46 +48,128 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "bsd3-notice": "Licensed under the BSD 3-Clause License",
-    "bsd2-notice": "Licensed under the BSD 2-Clause License",
-    "gpl3-notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl2-notice": "This work is licensed under the GNU General Public License, version 2",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "bsd-names-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-author": "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-holders": "Neither the names of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl-free-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-free-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-free-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl-free-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-free-3": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-free-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-details": "See the GNU General Public License for more details",
-    "cc-by-notice": "Licensed under CC BY 4.0",
-    "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
-    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0",
-    "cc-by-nc-sa-notice": "Licensed under CC BY-NC-SA 4.0",
-    "cc0-notice": "Dedicated to the public domain under CC0 1.0",
+    "gpl-title": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "version-2-1991": "Version 2, June 1991",
+    "version-2.1-1999": "Version 2.1, February 1999",
+    "version-3-2007": "Version 3, 29 June 2007",
+    "version-3-november": "Version 3, 19 November 2007",
+    "apache-title": "Apache License",
+    "version-2-2004": "Version 2.0, January 2004",
+    "mpl2-title": "Mozilla Public License Version 2.0",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "mpl2-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-notice": "Dedicated to the public domain under CC0 1.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "psf2-title": "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
 }
 #: Fixed values: (licence, sentences in order).
-RULES = (
+TEXT_RULES = (
     ("Apache-2.0", ("apache2-notice",)),
     ("Apache-2.0", ("apache2-the-license",)),
     ("Apache-2.0", ("apache2-the-license", "apache2-obtain", "apache2-basis", "apache2-see")),
     ("Apache-2.0", ("apache2-the-license", "apache2-obtain-https", "apache2-basis", "apache2-see")),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-licensed",)),
-    ("MIT", ("mit-this",)),
+    ("Apache-2.0", ("apache-title", "version-2-2004")),
+    ("MIT", ("mit-grant", "mit-copies")),
     ("MIT", ("mit-grant", "mit-copies", "mit-as-is", "mit-liable")),
-    ("BSD-2-Clause", ("bsd2-notice",)),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("BSD-3-Clause", ("bsd3-notice",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
-    ("GPL-2.0", ("gpl2-notice",)),
-    ("GPL-3.0", ("gpl3-notice",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
-    ("CC-BY-4.0", ("cc-by-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
-    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-notice",)),
-    ("CC0-1.0", ("cc0-notice",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names-university")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names-author")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names-holders")),
+    ("GPL-2.0", ("gpl-title", "version-2-1991")),
+    ("GPL-2.0", ("gpl-free-2-only",)),
+    ("GPL-2.0-or-later", ("gpl-free-2",)),
+    ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope", "gpl-details")),
+    ("GPL-3.0", ("gpl-title", "version-3-2007")),
+    ("GPL-3.0-or-later", ("gpl-free-3",)),
+    ("GPL-3.0-or-later", ("gpl-free-3", "gpl-hope", "gpl-details")),
+    ("LGPL-2.1", ("lgpl-title", "version-2.1-1999")),
+    ("LGPL-2.1-or-later", ("lgpl-free-2.1",)),
+    ("LGPL-3.0", ("lgpl-title", "version-3-2007")),
+    ("LGPL-3.0-or-later", ("lgpl-free-3",)),
+    ("AGPL-3.0", ("agpl-title", "version-3-november")),
+    ("AGPL-3.0-or-later", ("agpl-free-3",)),
+    ("MPL-2.0", ("mpl2-title",)),
     ("MPL-2.0", ("mpl2-form",)),
     ("MPL-2.0", ("mpl2-form", "mpl2-obtain")),
+    ("CC0-1.0", ("cc0-title",)),
+    ("CC0-1.0", ("cc0-notice",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("PSF-2.0", ("psf2-title",)),
 )
+#: Identifiers of licences and the names by which notices call them.
+NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License", "MIT license terms"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+}
+#: What a notice says before a licence's name.
+NOTICES = ("Licensed under", "Released under", "Distributed under", "Available under", "This project is licensed under", "This work is licensed under", "This software is licensed under", "This program is licensed under", "This software is released under")
+
+
+def notices() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """(sentences, rules): each notice with each name, with and without an article, and SPDX tags."""
+    sentences, rules = {}, []
+    for licence, names in NAMES.items():
+        said = [f"{notice} {article}{name}" for notice in NOTICES for name in names for article in ("the ", "", "a ")]
+        tags = [f"SPDX-License-Identifier: {licence}{more}" for more in (("", "-only") if "GPL" in licence else ("",))]
+        for i, text in enumerate([*said, *tags]):
+            sentences[f"{licence}-notice-{i}"] = text
+            rules.append((licence, (f"{licence}-notice-{i}",)))
+        if "GPL" in licence:
+            sentences[f"{licence}-later"] = f"SPDX-License-Identifier: {licence}-or-later"
+            rules.append((f"{licence}-or-later", (f"{licence}-later",)))
+    return sentences, rules
+
+
+RULES = (*TEXT_RULES, *notices()[1])
+ALL_SENTENCES = SENTENCES | notices()[0]
 
 
 @dataclass
@@ -106,13 +187,13 @@ def _runs(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return K.mix(np.add.reduceat(K.mix(h + place * K.U64(0x9E3779B97F4A7C15)), start) + size.astype(np.uint64))
 
 
-def book(sentences: dict[str, str] = SENTENCES, rules=RULES) -> Book:
+def book(sentences: dict[str, str] = ALL_SENTENCES, rules=RULES) -> Book:
     hasher, rows = K.Hasher("alnum", lower=True), []
     for name, text in sentences.items():
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         h = hasher.words(raw, np.array([0, len(raw)]))[2]
         rows.append((int(_runs(h, np.array([0]), np.array([len(h)]))[0]), name))
-    rows.sort()
+    rows = sorted({h: name for h, name in reversed(rows)}.items())  # of equal sentences the first
     by: dict[str, list] = {}
     for licence, names in sorted(rules, key=lambda r: -len(r[1])):
         by.setdefault(names[0], []).append((licence, names))
@@ -128,8 +209,9 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher, known:
     part = data[base : int(offsets[-1])]
     feed = part == 0x0A
     blank = (part == 0x20) | ((part >= 0x09) & (part <= 0x0D))
-    stop = np.zeros(len(part), dtype=bool)
+    stop, colon = np.zeros(len(part), dtype=bool), np.zeros(len(part), dtype=bool)
     stop[:-1] = np.isin(part[:-1], np.frombuffer(b".!?", dtype=np.uint8)) & blank[1:]
+    colon[:-1] = (part[:-1] == 0x3A) & blank[1:]
 
     def between(flags: np.ndarray, least: int) -> np.ndarray:
         total = np.zeros(len(flags) + 1, dtype=np.int64)
@@ -139,7 +221,7 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher, known:
     text = K.text_of_words(first)
     end = between(stop, 1) | (text[1:] != text[:-1])
     found = set()
-    for cut in (end | between(feed, 1), end | between(feed, 2)):
+    for cut in (end | between(feed, 1), end | between(feed, 2), end | between(colon, 1)):
         start = np.concatenate([[0], np.flatnonzero(cut) + 1])
         size = np.diff(np.concatenate([start, [len(h)]]))
         s = _runs(h, start, size)
@@ -158,7 +240,13 @@ def matches(rows: list[tuple[int, int, int, str]], known: Book) -> list[tuple[st
         for licence, names in known.rules.get(rows[i][3], []):
             chain = [i]
             for name in names[1:]:
-                j = next((j for j in range(chain[-1] + 1, len(rows)) if rows[j][1] <= rows[chain[-1]][2] + MOST_BETWEEN and rows[j][1] >= rows[chain[-1]][2] and rows[j][3] == name and j not in used), None)
+                last, j = rows[chain[-1]][2], None
+                for at in range(chain[-1] + 1, len(rows)):
+                    if rows[at][1] > last + MOST_BETWEEN:
+                        break
+                    if rows[at][1] >= last and rows[at][3] == name and at not in used:
+                        j = at
+                        break
                 if j is None:
                     break
                 chain.append(j)
@@ -169,7 +257,7 @@ def matches(rows: list[tuple[int, int, int, str]], known: Book) -> list[tuple[st
     return out
 
 
-def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def license_scan(docs: DataFrame, sentences: dict[str, str] = ALL_SENTENCES, rules=RULES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_sentences (known ones), found: an array of (license, start, end) in characters, end exclusive.
 
     Null and empty texts have none. Rows that repeat a doc_id, or have none,
