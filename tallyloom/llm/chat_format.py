@@ -60,12 +60,14 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     conversations has conv_id, turn, role, text. A null text or role counts as
     empty, null turns come first, a null conv_id is a conversation, too; rows
     that repeat a turn follow one another by role and text. A turn, or
-    a system turn, beyond the budget is kept whole. Tokens are runs of other than white space.
+    a system turn, beyond the budget is kept whole. Tokens are runs of other than
+    white space, one for a text without any.
     Further columns aren't looked at; an empty table gives an empty result.
     """
     col = lambda name, kind: F.col(f"`{name}`").cast(kind)
     turns = conversations.select(col("conv_id", "long").alias("conv_id"), col("turn", "long").alias("turn"), F.coalesce(col("role", "string"), F.lit("")).alias("role"), F.coalesce(col("text", "string"), F.lit("")).alias("text"))
-    turns = turns.withColumn("tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    # a turn without words counts as one token, so that a window has no more turns than tokens
+    turns = turns.withColumn("tokens", F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long"))
     systems = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("role", "text", "tokens"), F.struct("turn", "role", "text")).alias("s"))
     room = F.greatest(F.lit(2), F.floor((F.lit(budget - history_tokens) - F.coalesce("s.tokens", F.lit(0))) / 2))
     turns = turns.join(systems.select(F.col("conv_id").alias("of"), "s"), F.col("conv_id").eqNullSafe(F.col("of")), "left").withColumn("room", room).drop("of", "s")

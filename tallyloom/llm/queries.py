@@ -126,7 +126,7 @@ s as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transfo
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" or ".join(f"({r.sql})" for r in quality_rules.BASE_RULES)} as base_failed, not ({" or ".join(f"({r.sql})" for r in quality_rules.RULES)}) as kept from s""",
     "op7_chat_format": rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-t as (select *, len(regexp_extract_all(text, '{_SPACE_WORDS}')) as tokens, row_number() over (partition by conv_id order by turn, role, text) as number,
+t as (select *, greatest(len(regexp_extract_all(text, '{_SPACE_WORDS}')), 1) as tokens, row_number() over (partition by conv_id order by turn, role, text) as number,
   length({"".join("replace(" for _ in chat_format.ESCAPES)}text{"".join(f", '{a}', '{b}')" for a, b in chat_format.ESCAPES)}) + length({"".join("replace(" for _ in chat_format.ESCAPES)}role{"".join(f", '{a}', '{b}')" for a, b in chat_format.ESCAPES)}) + {len(chat_format.BEGIN + chat_format.MIDDLE + chat_format.END)} as size from c),
 sys as (select conv_id, min_by(tokens, number) as tokens, min_by(size, number) as size, min(number) as number from t where role = 'system' group by conv_id),
 l as (select t.*, greatest(2, floor(({chat_format.BUDGET - chat_format.HISTORY_TOKENS} - coalesce(sys.tokens, 0)) / 2)) as room from t left join sys using (conv_id)),
