@@ -181,7 +181,7 @@ def test_token_output(spark, docs, empty, tmp_path):
     assert sorted(tuple(r) for r in token_output.token_output(table, path).collect()) == want
     assert token_output.token_output(empty, path).count() == 0
     assert token_output.token_output(docs, path).count() == docs.count()
-    files = token_output.export(token_output.shards(table, path), str(tmp_path))
+    files = sorted(r.file for r in token_output.export(token_output.shards(table, path), str(tmp_path)).collect())
     shard = token_output.Shard(open(files[0], "rb").read())
     assert shard.doc_ids()[0] == want[0][0] and len(shard.document(1)) == want[1][2]
 
@@ -281,7 +281,8 @@ def test_forward_recursion_is_exact():
         total = sum(model.start[p[0]] * model.emit[p[0], t[0]] * math.prod(model.move[p[i - 1], p[i]] * model.emit[p[i], t[i]] for i in range(1, len(t))) for p in itertools.product(range(k), repeat=len(t)))
         assert abs(math.log10(total) - x) < 1e-9
     counts = hmm_scores.expected(model, classes, np.cumsum(size) - size, size)
-    assert abs(counts[:k].sum() - 3) < 1e-9 and abs(counts[k : k + k * k].sum() - 6) < 1e-9 and abs(counts[k + k * k :].sum() - 9) < 1e-9
+    assert abs(counts[:k].sum() - 3) < 1e-9 and abs(counts[k : k + k * k].sum() - 6) < 1e-9 and abs(counts[k + k * k : -2].sum() - 9) < 1e-9
+    assert abs(counts[-2] - found.sum()) < 1e-9 and counts[-1] == 9
 
 
 def test_training_carries_the_state_over_run_borders():
