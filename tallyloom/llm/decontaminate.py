@@ -4,15 +4,14 @@ A segment of the index holds some megabytes of text as its sorted terms and, for
 each, the ascending positions at which it stands. Segments are stored as a
 table, so an index that was built once answers for any benchmark.
 
-A search works on tables throughout. The postings counts (term, segment, count)
-of the benchmark's terms give each term's frequency in the corpus; a window of
-which some term occurs nowhere goes, and the rarest term of each of the others
-is joined with the segments that have it. Those segments alone are searched for
-the window: its terms are put in order of their number of postings there, the
-list of the rarest gives the places where the window might begin, and the list
-of each further term, shifted by the term's offset, is intersected with those.
-With a slack, a term may stand that many words from its place: a proximity
-match. Neither the size of the benchmark nor that of the corpus has a limit.
+A search takes the distinct windows of the benchmark, in blocks of bounded size,
+to every segment: a window of which some term isn't there goes, the terms of
+the others are put in order of their number of postings there, the list of the
+rarest gives the places where the window might begin, and the list of each
+further term, shifted by the term's offset, is intersected with those. With a
+slack, a term may stand that many words from its place: a proximity match. Only
+matches leave a segment. Neither the benchmark nor the corpus has a largest size:
+a benchmark of several blocks is searched for in as many passes over the index.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bitmap, digest_of, identified, released, written
+from .common import digest_of, identified, released, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW, SLACK = 13, 1
 #: Positions that are left free between documents, more than a window and its slack.
 GAP = 64
-#: Bits of a term's hash by which segments leave out terms that the benchmark lacks; a map of so many entries goes to the tasks, whatever the benchmark.
-MARKS = 22
-#: Windows that are searched for in a segment at a time, about.
-TOGETHER = 4096
+#: Windows of a block, about: 104 bytes each, which every task holds.
+BLOCK = 1 << 16
 SEGMENT = "segment long, doc_ids array<long>, digests array<binary>, starts binary, terms binary, counts binary, positions binary"
 SPANS = "array<struct<start:long,length:long>>"
 
@@ -87,50 +85,6 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return benchmark.select(F.col("`item_id`").cast("long").cast("string").alias("item"), F.col("`text`").cast("string").alias("text")).mapInArrow(run, "terms binary, item string").distinct()
 
 
-def terms_of(rows: DataFrame) -> DataFrame:
-    """(terms, place, term) of distinct windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = K.column(b.column(0))
-            size = np.diff(offsets) // 8
-            term = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(term)], ["terms", "place", "term"])
-
-    return rows.select("terms").mapInArrow(run, "terms binary, place int, term long")
-
-
-def posting_counts(index: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(term, segment, count) of the index's terms whose first bits are marked."""
-    bits = np.packbits(marks).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-        for b in batches:
-            for i in range(b.num_rows):
-                terms, counts = np.frombuffer(b.column(1)[i].as_buffer(), dtype=np.uint64), np.frombuffer(b.column(2)[i].as_buffer(), dtype=np.uint32)
-                keep = wanted[(terms >> K.U64(64 - MARKS)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(terms[keep].view(np.int64)), pa.array([b.column(0)[i].as_py()] * int(keep.sum()), pa.int64()), pa.array(counts[keep].astype(np.int64))], ["term", "segment", "n"])
-
-    return index.select("segment", "terms", "counts").mapInArrow(run, "term long, segment long, n long")
-
-
-def asked_segments(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(segment, asked): for each segment the distinct windows in wanted (terms) that may occur there, in lists of TOGETHER or so."""
-    terms = written(terms_of(wanted), "window-terms")
-    vocabulary = terms.select("term").distinct()
-    marks = bitmap(vocabulary.select(F.shiftrightunsigned("term", 64 - MARKS).alias("place")), 1 << MARKS)
-    counts = written(posting_counts(index, marks).join(vocabulary, "term"), "counts")
-    total = counts.groupBy("term").agg(F.sum("n").alias("n"))
-    found = terms.join(total, "term").groupBy("terms").agg(F.count("*").alias("have"), F.min(F.struct("n", "term")).alias("rarest"))
-    rarest = found.where(F.col("have") * 8 == F.octet_length("terms")).select("terms", F.col("rarest.term").alias("term"))
-    lists = max(1, -(-wanted.count() // TOGETHER))
-    pairs = rarest.join(counts.select("term", "segment"), "term")
-    return pairs.groupBy("segment", F.pmod(F.xxhash64("terms"), F.lit(lists)).alias("list")).agg(F.collect_list("terms").alias("asked")).select("segment", "asked")
-
-
 @dataclass
 class Queries:
     """Distinct windows: terms of each (padded with -1), as numbers of vocabulary, and its length."""
@@ -143,8 +97,8 @@ class Queries:
     def of(cls, packed: list[bytes]) -> Queries:
         rows = [np.frombuffer(x, dtype=np.uint64) for x in packed]
         lengths = np.array([len(x) for x in rows], dtype=np.int64)
-        vocabulary, at = np.unique(np.concatenate(rows), return_inverse=True)
-        terms = np.full((len(rows), int(lengths.max())), -1, dtype=np.int64)
+        vocabulary, at = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *rows]), return_inverse=True)
+        terms = np.full((len(rows), int(lengths.max(initial=1))), -1, dtype=np.int64)
         terms[np.arange(terms.shape[1]) < lengths[:, None]] = at.ravel()
         return cls(vocabulary, terms, lengths)
 
@@ -191,15 +145,16 @@ def occurrences(q: Queries, terms: np.ndarray, counts: np.ndarray, positions: np
     return alive[window], start, exact
 
 
-def hits(index: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
-    """(segment, at, terms, exact) for each window and the number of a document in its segment that has it, and (segment, at, spans) with the words that exact matches of a list of windows cover there: (start, length) from the first word, apart and in order."""
+def hits(index: DataFrame, block: list[bytes], slack: int) -> DataFrame:
+    """(segment, at, terms, exact) for each window and the number of a document in its segment that has it, and (segment, at, spans) with the words that exact matches of the block cover there: (start, length) from the first word, apart and in order."""
+    sent = index.sparkSession.sparkContext.broadcast(block)  # a block of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = sent.value
+        q = Queries.of(packed)
         for b in batches:
             for i in range(b.num_rows):
                 starts, terms, counts, positions = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((1, np.int64), (2, np.uint64), (3, np.uint32), (4, np.uint32)))
-                packed = b.column(5)[i].as_py()
-                q = Queries.of(packed)
                 window, start, exact = occurrences(q, terms, counts, positions, slack)
                 if not len(window):
                     continue
@@ -222,8 +177,7 @@ def hits(index: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(rows[0]), pa.int64()), *[pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.bool_(), kind), strict=True)]], ["segment", "at", "terms", "exact", "spans"])
 
-    both = index.join(asked, "segment").select("segment", "starts", "terms", "counts", "positions", "asked")
-    return both.mapInArrow(run, f"segment long, at long, terms binary, exact boolean, spans {SPANS}")
+    return index.select("segment", "starts", "terms", "counts", "positions").mapInArrow(run, f"segment long, at long, terms binary, exact boolean, spans {SPANS}")
 
 
 def documents(index: DataFrame) -> DataFrame:
@@ -249,11 +203,16 @@ def _covered(ordered: Column) -> Column:
 
 
 def search(index: DataFrame, benchmark: DataFrame, slack: int = SLACK, window: int = WINDOW) -> DataFrame:
-    """Per document of a written index: doc_id, digest, n_words, n_hit, items and near_items (sorted as strings), spans (start and length in words of what exact matches cover; matches that different lists of windows found may overlap)."""
+    """Per document of a written index: doc_id, digest, n_words, n_hit, items and near_items (sorted as strings), spans (start and length in words of what exact matches cover; matches that different blocks of windows found may overlap)."""
     with released(index.sparkSession):
         named = written(windows(benchmark, window), "windows")
-        asked = written(asked_segments(index, written(named.select("terms").distinct(), "distinct-windows")), "asked")
-        found = written(hits(index, asked, slack), "hits")
+        distinct = written(named.select("terms").distinct(), "distinct-windows")
+        blocks = max(1, -(-distinct.count() // BLOCK))
+        parts = []
+        for i in range(blocks):
+            block = [bytes(r.terms) for r in distinct.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == i).collect()]
+            parts.append(written(hits(index, block, slack), "hits"))
+        found = reduce(DataFrame.unionByName, parts)
         cover = found.where("spans is not null").groupBy("segment", "at").agg(F.collect_list("spans").alias("lists"))
         cover = cover.select("segment", "at", F.array_sort(F.flatten("lists")).alias("spans")).withColumn("n_hit", _covered(F.col("spans")))
         of = found.where("terms is not null").join(named.where("item is not null"), "terms").select("segment", "at", "item", "exact").groupBy("segment", "at", "item").agg(F.bool_or("exact").alias("exact"))
