@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import added_up, among, bitmap, released, typed, written
+from .common import added_up, bitmap, released, typed, written
 from .quality_rules import Stats, _hashers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,18 +75,27 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.knots, self.values), 0, 1) if self.weights is not None else np.full(len(x), 0.5)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of each text as packed doubles."""
+def described(docs: DataFrame, marks: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, x): the statistics of each text as packed doubles; with marks, only of rows whose doc_id has a marked place."""
+    bits = None if marks is None else np.packbits(marks).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = _hashers()
+        wanted = None if bits is None else np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
         for b in batches:
+            if wanted is not None:
+                b = b.filter(pa.array(wanted[np.asarray(b.column(2))]))
             data, offsets = K.column(b.column(1))
             for lo, hi in K.spans(offsets):
                 x = statistics(data, offsets[lo : hi + 1], hashers)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
-    return typed(docs, ("doc_id", "long"), ("text", "string")).mapInArrow(run, "doc_id long, x binary")
+    rows = typed(docs, ("doc_id", "long"), ("text", "string"))
+    return (rows if marks is None else rows.withColumn("place", place_of("doc_id"))).mapInArrow(run, "doc_id long, x binary")
+
+
+def place_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(MARKS))
 
 
 def _matrix(array: pa.Array) -> np.ndarray:
@@ -185,11 +194,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with a label alone (of a few more, where doc_ids share a place in the map of
     those), so that each text's are taken once, and those of labelled ones twice.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     with released(docs.sparkSession):
-        marks = bitmap(typed(labels, ("doc_id", "long")).select(place.alias("place")), MARKS)
-        known = among(typed(docs, ("doc_id", "long"), ("text", "string")).withColumn("place", place), "place", marks)
-        model = fit(described(known), labels)
+        marks = bitmap(typed(labels, ("doc_id", "long")).select(place_of("doc_id").alias("place")), MARKS)
+        model = fit(described(docs, marks), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
