@@ -363,8 +363,8 @@ def _traced(chunks: DataFrame, entries: DataFrame, pieces) -> DataFrame:
     return both.join(leaves, ["row", "chunk"]).mapInArrow(emit, "row string, chunk long, ids binary")
 
 
-def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text") -> DataFrame:
-    """(doc_id, text, ids, decoded): ids as packed little-endian unsigned 32-bit numbers, decoded from these again.
+def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text", library: bool = False) -> DataFrame:
+    """(doc_id, text, ids, decoded): ids as packed little-endian unsigned 32-bit numbers, decoded from these again; with library also library_ids (see there).
 
     Null texts count as empty and have no ids. Rows that repeat a doc_id, or
     have none, are encoded each by itself. An empty table gives an empty
@@ -374,6 +374,12 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     pieces = Shared(spark.sparkContext.broadcast(read_model(model)))  # as large as the vocabulary
     longest, mark = pieces.value.longest, xxhash.xxh3_128_hexdigest(repr(pieces.rows.value).encode())
 
+    names = ["doc_id", "text", "ids", "decoded", *(["library_ids"] if library else [])]
+    schema = "doc_id long, text string, ids binary, decoded string" + (", library_ids binary" if library else "")
+
+    def merged(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(_library(K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged")), texts), pa.binary())] if library else []
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.per_worker(("pieces", mark), lambda: Encoder(pieces.value))
         own = encoder.pieces
@@ -382,7 +388,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
             for lo, hi in K.spans(offsets, K.SLICE):
                 texts = [x or "" for x in b.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = encoder.encode([escape(" " + x) if x else "" for x in texts])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "text", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.string()), *merged(b.column(1).slice(lo, hi - lo))], names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -394,7 +400,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
                     yield pa.RecordBatch.from_arrays([pa.array([b.column(2)[i].as_py()] * len(part), pa.string()), pa.array([s // chunk for s in part], pa.int64()), pa.array([text[s : s + chunk] for s in part], pa.string()), pa.array([text[s + chunk : s + chunk + longest] for s in part], pa.string())], ["row", "chunk", "text", "look"])
 
     rows = typed(docs, ("doc_id", "long"), (column, "string")).toDF("doc_id", "text")
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, "doc_id long, text string, ids binary, decoded string")
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, schema)
     giants = written(rows.where(F.length("text") > chunk).withColumn("row", F.expr("uuid()")), "giants")
     if giants.isEmpty():
         return short
@@ -405,10 +411,10 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
         for b in batches:
             for r in b.to_pylist():
                 ids = b"".join(x["ids"] for x in sorted(r["parts"], key=lambda x: x["chunk"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([r["text"]], pa.string()), pa.array([ids], pa.binary()), pa.array([pieces.value.decode(np.frombuffer(ids, dtype="<u4"))], pa.string())], ["doc_id", "text", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([r["text"]], pa.string()), pa.array([ids], pa.binary()), pa.array([pieces.value.decode(np.frombuffer(ids, dtype="<u4"))], pa.string()), *merged(pa.array([r["text"]], pa.string()))], names)
 
     parts = ids.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts"))
-    return short.union(giants.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(joined, "doc_id long, text string, ids binary, decoded string"))
+    return short.union(giants.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(joined, schema))
 
 
 def library_ids(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
@@ -439,15 +445,6 @@ def _library(encoder: Encoder, texts: pa.Array) -> list[bytes]:
 
 def sentencepiece_digest(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids_crc32, round_trip (whether decoding gives the text), library_tokens, library_crc32 (of library_ids)."""
-    pieces = Shared(docs.sparkSession.sparkContext.broadcast(read_model(model)))  # as large as the vocabulary
-    mark = xxhash.xxh3_128_hexdigest(repr(pieces.rows.value).encode())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged"))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(_library(encoder, b.column(1)), pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "round_trip", "library_ids"])
-
     size = lambda c: F.expr(f"cast(octet_length({c}) / 4 as long)")
-    found = encode(docs, model, chunk).select("doc_id", "text", size("ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
-    found = found.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, library_ids binary")
-    return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip", size("library_ids").alias("library_tokens"), F.crc32("library_ids").alias("library_crc32"))
+    found = encode(docs, model, chunk, library=True)
+    return found.select("doc_id", size("ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"), size("library_ids").alias("library_tokens"), F.crc32("library_ids").alias("library_crc32"))
