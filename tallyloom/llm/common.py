@@ -114,6 +114,32 @@ def among(rows: DataFrame, place: str, marks: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Entries of the map by which rows that a join can't concern are left out of it.
+MARKS = 1 << 24
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns as they are, whose doc_id and digest of text are not in gone (doc_id, digest; written).
+
+    gone gives a map of bounded size, which is broadcast; rows that it doesn't
+    mark pass where they are read, and the others are joined, so that not all
+    texts are dealt because of some.
+    """
+    place = F.pmod(F.xxhash64("_d"), F.lit(MARKS)) + 1
+    own = gone.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"))
+    own = own.withColumn("_p", place)
+    maps = own.groupBy(F.bitmap_bucket_number("_p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))  # MARKS / 2 ** 15 rows of 4 KiB at most
+    rows = docs.select(F.struct("*").alias("_row"), F.col("`doc_id`").cast("long").alias("_id"), digest_of("`text`").alias("_d")).withColumn("_p", place)
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_b"), "left")
+    marked = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    free = rows.where(~marked).select("_row")
+    held = rows.where(marked).select("_row", F.col("_id"), F.col("_d").alias("_digest"))
+    left = held.join(own, held["_digest"].eqNullSafe(own["_d"]) & held["_id"].eqNullSafe(own["_i"]), "left_anti").select("_row")
+    return free.unionByName(left).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+
+
 def added_up(parts: DataFrame) -> np.ndarray | None:
     """The sum of arrays of doubles of one size, from rows (total binary): first in MERGERS tasks, then here."""
 

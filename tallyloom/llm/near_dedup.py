@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import among, bitmap, digest_of, identified, released, written
+from .common import MARKS, among, bitmap, digest_of, identified, released, without, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,8 +43,6 @@ DISTANCE = 2 * (PLACES // CHUNK) - 1
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Documents of one key that are compared in one group; documents that ask in one copy of a block.
 TILE, ASKERS = 2048, 1024
-#: Entries of the map by which texts that are in no block are left out where they are read.
-MARKS = 1 << 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +319,8 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     nodes = own.where("node is not null").groupBy("node").agg(F.min(name).alias("name"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select("node", "name.doc_id", "name.digest", "sig", "n_shingles")
     keys = index_keys(nodes).repartition("key")  # dealt once, for the counts and for the join
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
+    # the condition on left_out always holds; with it both sides of the join read the same columns, so that the keys are dealt once
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.min("left_out").alias("any")).where("n > 1 and any >= 0").select("key", "centre")
     members = written(keys.join(shared, "key"), "members")
     votes = members.groupBy("node", "centre").agg(F.count("*").alias("n"))
     cluster = votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("cluster"))
@@ -375,7 +374,7 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     with released(docs.sparkSession):
         gone, again = written(gone, "gone", kept=True), written(again, "repeated", kept=True)
-    left = named(docs, gone, "left_anti")
+    left = without(docs, gone)
     if again.isEmpty():
         return left
-    return named(left, again, "left_anti").unionByName(named(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return without(left, again).unionByName(named(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))
