@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import digest_of, identified, released, written
+from .common import identified, released, without, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -246,6 +246,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark removes nothing.
     """
     with released(docs.sparkSession):
-        bad = contamination(docs, benchmark, slack=0).where("contaminated").select(F.col("doc_id").alias("_of_id"), F.col("digest").alias("_of_digest")).distinct()
+        bad = contamination(docs, benchmark, slack=0).where("contaminated").select("doc_id", "digest").distinct()
         bad = written(bad, "contaminated", kept=True)
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_of_id"]) & digest_of().eqNullSafe(bad["_of_digest"]), "left_anti")
+    return without(docs, bad)
