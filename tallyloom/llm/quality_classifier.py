@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import added_up, bitmap, released, typed, written
+from .common import MARKS, added_up, bitmap, released, typed, written
 from .quality_rules import Stats, _hashers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES, RIDGE, BINS, THRESHOLD = 192, 1e-2, 1024, 0.3
-#: Entries of the map by which texts without a label are left out of the fit.
-MARKS = 1 << 24
+#: Bytes of text whose statistics are taken at a time.
+SPAN = 2 * K.SLICE
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray, hashers: dict[str, K.Hasher]) -> np.ndarray:
@@ -86,7 +86,7 @@ def described(docs: DataFrame, marks: np.ndarray | None = None) -> DataFrame:
             if wanted is not None:
                 b = b.filter(pa.array(wanted[np.asarray(b.column(2))]))
             data, offsets = K.column(b.column(1))
-            for lo, hi in K.spans(offsets):
+            for lo, hi in K.spans(offsets, SPAN):
                 x = statistics(data, offsets[lo : hi + 1], hashers)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         hashers = _hashers()
         for b in batches:
             data, offsets = K.column(b.column(at))
-            for lo, hi in K.spans(offsets):
+            for lo, hi in K.spans(offsets, SPAN):
                 good = model.score(statistics(data, offsets[lo : hi + 1], hashers)) >= THRESHOLD
                 yield b.slice(lo, hi - lo).filter(pa.array(good))
 
