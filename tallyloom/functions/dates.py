@@ -32,6 +32,24 @@ def span_years(ref: Column) -> Column:
     return F.struct(birth.alias("birth"), death.alias("death"))
 
 
+def ref_years(ref: Column) -> Column:
+    """(birth, death, marriage) as a reference states them: '(m. 1870)' is a marriage and nothing else; then '(b. & d. 1882)', a lifespan, a baptism, a single year, approximate or not."""
+    get = lambda p, k=1: F.nullif(F.regexp_extract(ref, p, k), F.lit("")).try_cast("int")
+    about = r"\(\s*(?:(?:b|c|ca|abt)\.?\s*|about\s*|~\s*)*"
+    span = about + r"([0-9]{4})\s*[–-]\s*([0-9]{4}|living|\?)"
+    marriage = get(r"(?i)\(\s*m\.?\s*([0-9]{4})")
+    both = get(r"(?i)\(\s*b\.?\s*&\s*d\.?\s*([0-9]{4})\s*\)")
+    birth = F.coalesce(both, get("(?i)" + span), get(r"(?i)\(\s*(?:bap|bapt|baptised|baptized)\.?\s*(?:~|c\.)?\s*([0-9]{4})\b"), get("(?i)" + about + r"([0-9]{4})\b"))
+    death = F.coalesce(both, get("(?i)" + span, 2))
+    return F.struct(F.when(marriage.isNull(), birth).alias("birth"), F.when(marriage.isNull(), death).alias("death"), marriage.alias("marriage"))
+
+
+def without_lifespan(name: Column) -> Column:
+    """Brackets that hold a lifespan or '(fl. 1998)' go; other brackets stay."""
+    out = F.regexp_replace(name, r"(?i)\s*\(~?[0-9]{4}\s*[–-]\s*(?:[0-9]{4}|living|\?)?\s*\)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?i)\s*\(fl\.?\s*[0-9]{3,4}\)", " "), r"\s+", " "))
+
+
 def bare_name(ref: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(ref, r"\([^)]*\)", " "), r"\s+", " "))
 
@@ -59,14 +77,19 @@ class Gate:
     spouse: int | None = 50
     sibling: int | None = 40
     posthumous: int | None = 0
+    #: Where a child is judged by other limits than a parent.
+    child_least: int | None = None
+    child_most: int | None = None
+    #: Whether spouses have to have lived at the same time.
+    overlap: bool = False
 
 
 #: One row for each use, since uses differ.
 GATES = {
     "shared": Gate(11, 60, 50, 40, 0),
     "edge": Gate(11, 65, 55, None, None),
-    "match": Gate(12, 55, 50, None, None),
-    "slug": Gate(11, 70, 70, None, 0),
+    "match": Gate(12, None, 50, None, None, -5, 55),
+    "slug": Gate(11, 70, 70, None, 0, overlap=True),
     "render": Gate(10, 60, None, None, 1),
     "verify": Gate(-8, 62, None, None, None),
 }
@@ -75,16 +98,18 @@ GATES = {
 def plausible(relation: Column, birth: Column, death: Column, other_birth: Column, other_death: Column, gate: Gate) -> Column:
     """Whether `other` may stand in `relation` to the subject (parent: other is the parent); unknown relations and dates pass."""
 
-    def parent(b, d, child) -> Column:
+    def parent(b, d, child, least=gate.parent_least, most=gate.parent_most) -> Column:
         ok = F.lit(True)
-        if gate.parent_least is not None:
-            ok &= child - b >= gate.parent_least
-        if gate.parent_most is not None:
-            ok &= child - b <= gate.parent_most
+        if least is not None:
+            ok &= F.coalesce(child - b >= least, F.lit(True))
+        if most is not None:
+            ok &= F.coalesce(child - b <= most, F.lit(True))
         if gate.posthumous is not None:
             ok &= F.coalesce(child <= d + gate.posthumous, F.lit(True))
         return ok
 
-    near = lambda most: F.lit(True) if most is None else F.abs(birth - other_birth) <= most
-    tested = F.when(relation == "parent", parent(other_birth, other_death, birth)).when(relation == "child", parent(birth, death, other_birth)).when(relation == "spouse", near(gate.spouse)).when(relation == "sibling", near(gate.sibling))
+    near = lambda most: F.lit(True) if most is None else F.coalesce(F.abs(birth - other_birth) <= most, F.lit(True))
+    child = parent(birth, death, other_birth, gate.parent_least if gate.child_least is None else gate.child_least, gate.parent_most if gate.child_most is None else gate.child_most)
+    together = F.coalesce(other_birth <= death, F.lit(True)) & F.coalesce(birth <= other_death, F.lit(True)) if gate.overlap else F.lit(True)
+    tested = F.when(relation == "parent", parent(other_birth, other_death, birth)).when(relation == "child", child).when(relation == "spouse", near(gate.spouse) & together).when(relation == "sibling", near(gate.sibling))
     return F.coalesce(tested, F.lit(True))

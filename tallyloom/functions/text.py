@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
-#: Letters with marks and what they fold to; parallel strings for translate().
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str]:
+    """Letters whose canonical decomposition begins with an ASCII letter, and that letter; parallel strings for translate()."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x80, 0x2200)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalnum()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _folds()
 
 
 def squeeze(text: Column) -> Column:
@@ -15,9 +25,13 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def folded(text: Column) -> Column:
+    """Letters without their marks, as canonical decomposition has them; letters that don't decompose stay."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), "[\u0300-\u036f]", "")
+
+
 def slugify(text: Column, fold: bool = False) -> Column:
-    low = F.lower(text)
-    low = F.translate(low, MARKED, PLAIN) if fold else low
+    low = F.lower(folded(text) if fold else text)
     return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
@@ -130,3 +144,35 @@ def fingerprint(parts: list[Column], digits: int = 12) -> Column:
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def healed(display: Column, year: Column) -> Column:
+    """An empty display from its year; one that isn't empty is never changed."""
+    return F.when((F.coalesce(F.trim(display), F.lit("")) == "") & year.isNotNull(), F.concat(F.lit("b. "), year.cast("string"))).otherwise(display)
+
+
+def mapped(rows: DataFrame, column: str, spellings: dict[str, str], name: str) -> DataFrame:
+    """rows with a column of that name: what a spelling stands for by a table, case and blanks at the ends apart; null for those that it lacks, to be reported."""
+    known = F.create_map(*[F.lit(x) for k, v in spellings.items() for x in (k.strip().lower(), v)])
+    return rows.withColumn(name, F.try_element_at(known, F.lower(F.trim(column))))
+
+
+def without_symbols(html: Column, symbols: str = r"[\u2600-\u27bf]|\p{So}") -> Column:
+    return F.regexp_replace(html, symbols, "")
+
+
+def json_strings(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, value) of every string in nested JSON, however deep: each round opens the objects and arrays that the last one found. Text that is no JSON has none."""
+    level = rows.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
+    found = None
+    while True:
+        kind = F.schema_of_variant("v")
+        own = level.withColumn("_k", kind)
+        part = own.where("_k = 'STRING'").select(key, "path", F.expr("variant_get(v, '$', 'string')").alias("value"))
+        found = part if found is None else found.unionByName(part)
+        open_ = own.where("_k like 'OBJECT%' or _k like 'ARRAY%'").select(key, F.col("path").alias("_p"), "v")
+        if open_.isEmpty():
+            return found
+        open_.createOrReplaceTempView("_json_level")
+        at = F.when(F.col("key").isNotNull(), F.concat("_p", F.lit("."), "key")).otherwise(F.concat("_p", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = rows.sparkSession.sql(f"select l.`{key}`, l._p, e.pos, e.key, e.value from _json_level l, lateral variant_explode(l.v) e").select(key, at.alias("path"), F.col("value").alias("v"))

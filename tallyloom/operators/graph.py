@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
     return df.checkpoint()
 
@@ -71,18 +73,20 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def generations(nodes: DataFrame, key: str, parents: DataFrame, spouses: DataFrame, roots: DataFrame, depth: int = 40) -> DataFrame:
-    """(key, generation): 1 for the roots, one more for a child, the same for a spouse; the least that is reached, 99 for those that aren't."""
+def generations(nodes: DataFrame, key: str, parents: DataFrame, spouses: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
+    """(key, generation): 1 for the roots, one more for a child, the same for a spouse; the least that is reached, 99 for those that aren't. Rounds go on until nothing gets better, in cycles too; more than most are an error."""
     steps = parents.select(F.col("parent").alias("at"), F.col("child").alias("to"), F.lit(1).alias("more")).unionByName(spouses.select(F.col("a").alias("at"), F.col("b").alias("to"), F.lit(0).alias("more"))).unionByName(spouses.select(F.col("b").alias("at"), F.col("a").alias("to"), F.lit(0).alias("more")))
     best = cut(roots.select(F.col(key).alias("at"), F.lit(1).alias("generation")).distinct())
     frontier = best
-    for _ in range(depth):
+    for _ in range(most):
         reached = frontier.join(steps, "at").groupBy("to").agg(F.min(F.col("generation") + F.col("more")).alias("g"))
         better = reached.join(best, reached["to"] == best["at"], "left").where("generation is null or g < generation").select(F.col("to").alias("at"), F.col("g").alias("generation"))
         frontier = cut(better)
         if frontier.isEmpty():
             break
         best = cut(best.unionByName(frontier).groupBy("at").agg(F.min("generation").alias("generation")))
+    else:
+        raise RuntimeError(f"generations did not settle in {most} rounds")
     return nodes.select(key).join(best.withColumnRenamed("at", key), key, "left").select(key, F.coalesce("generation", F.lit(99)).alias("generation"))
 
 
@@ -124,5 +128,20 @@ def chain_ends(links: DataFrame) -> DataFrame:
     return after.select("src", F.when(~F.col("moved"), F.col("dst")).alias("end"))
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) without those that lead from what nothing leads to, or to what leads nowhere, again and again: cycles and what lies between them."""
+    left, before = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct()), None
+    while (n := left.count()) and n != before:
+        before = n
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return left
+
+
 def on_cycle(edges: DataFrame, depth: int = 40) -> DataFrame:
-    return closure(edges, depth).where("src = dst").select(F.col("src").alias("node"), "hops")
+    """(node, hops): nodes that edges lead back to in up to depth steps, and the least number of steps. Walks are taken among cycles and what lies between them only."""
+    return closure(trimmed(edges), depth).where("src = dst").select(F.col("src").alias("node"), "hops")
+
+
+def generations_by_floor(birth: Column, root: int, years: int = 30) -> Column:
+    """An older count: years a generation, rounded down, from 1; 99 without a year."""
+    return F.when(birth.isNull(), 99).otherwise(F.greatest(F.lit(1), F.floor((birth - root) / years).cast("int") + 1))

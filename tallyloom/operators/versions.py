@@ -53,3 +53,33 @@ def drift(snapshot: DataFrame, live: DataFrame, key: str, content: str) -> DataF
     new = live.select(key, F.col(content).alias("_new"), F.lit(True).alias("_in_new"))
     state = F.when(F.col("_in_old").isNull(), "missing").when(F.col("_in_new").isNull(), "stale").when(~F.col("_old").eqNullSafe(F.col("_new")), "differing")
     return old.join(new, key, "full").select(key, state.alias("state")).where("state is not null")
+
+
+def transitions(old: DataFrame, new: DataFrame, key: str, column: str, before: list, after: list) -> DataFrame:
+    """(key, was, now): rows of both versions whose column went from one of before to one of after."""
+    both = old.select(key, F.col(column).alias("was")).join(new.select(key, F.col(column).alias("now")), key)
+    return both.where(F.col("was").isin(before) & F.col("now").isin(after))
+
+
+def gone_or_short(old: DataFrame, new: DataFrame, key: str, arrays: list[str], declared: DataFrame, renames: DataFrame, least: DataFrame) -> DataFrame:
+    """Issues (key, issue, column, entries): vanished rows, arrays that lost entries and arrays below a minimum.
+
+    declared: key; such rows may vanish and lose. renames: from, to, already
+    followed to their ends; a row is compared with what it has become. least:
+    key, column, n.
+    """
+    r = renames.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
+    was = old.join(r, old[key] == r["_from"], "left").withColumn("_now", F.coalesce("_to", key)).drop("_from", "_to")
+    was = was.join(declared.select(key), key, "left_anti")
+    now = new.select(F.col(key).alias("_now"), *[F.col(a).alias(f"_new_{a}") for a in arrays], F.lit(True).alias("_there"))
+    both = was.join(now, "_now", "left")
+    none = F.array().cast("array<string>")
+    row = lambda df, issue, column, entries: df.select(F.col(key), F.lit(issue).alias("issue"), F.lit(column).alias("column"), entries.alias("entries"))
+    out = row(both.where("_there is null"), "vanished", "", none)
+    for a in arrays:
+        lost = F.array_sort(F.array_except(F.col(a).cast("array<string>"), F.coalesce(F.col(f"_new_{a}").cast("array<string>"), none)))
+        out = out.unionByName(row(both.where("_there").withColumn("_lost", lost).where("size(_lost) > 0"), "shrank", a, F.col("_lost")))
+        floor = least.where(F.col("column") == a).select(F.col(key).alias("_k"), "n")
+        short = new.join(floor, new[key] == floor["_k"]).where(F.size(F.array_distinct(F.coalesce(F.col(a).cast("array<string>"), none))) < F.col("n"))
+        out = out.unionByName(row(short, "below_minimum", a, none))
+    return out

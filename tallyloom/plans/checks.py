@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redact as R
+from .. import sources as S
 from ..operators import gates as Q
 from ..operators import merge as M
 from ..operators import versions as V
@@ -47,13 +48,13 @@ def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = f"case p_partkey % 4 when 0 then {BASE} || '-' || (1800 + p_size) when 1 then {BASE} || '-' || (1860 + p_size) when 2 then {BASE} || '-' || (1800 + p_size) || '-' || (1860 + p_size) else {BASE} end"
 
 
-@query(f"""with k as (select distinct {KNOWN} as known from part where p_partkey % 3 = 0), b as (select distinct {BASE} as base, 1800 + p_size as y, 1860 + p_size as z from part where p_partkey % 5 = 0),
+@query(f"""with k as (select distinct {KNOWN} as known from part), b as (select distinct {BASE} as base, 1800 + p_size as y, 1860 + p_size as z from part),
 t as (select base || '-' || y || z as slug, unnest([base || '-' || y, base || '-' || z, base || '-' || y || '-' || z, base, string_split(base, '-')[1] || '-' || string_split(base, '-')[-1]]) as c, unnest([1, 2, 3, 4, 5]) as i from b)
 select slug, min_by(known, i) as repaired from t left join k on c = known group by slug""")
 def repaired_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    refs = part.where("p_partkey % 5 = 0").selectExpr(f"{BASE} || '-' || (1800 + p_size) || (1860 + p_size) as slug")
-    return M.repaired_slugs(refs, "slug", part.where("p_partkey % 3 = 0").selectExpr(f"{KNOWN} as known"), "known")
+    refs = part.selectExpr(f"{BASE} || '-' || (1800 + p_size) || (1860 + p_size) as slug")
+    return M.repaired_slugs(refs, "slug", part.selectExpr(f"{KNOWN} as known"), "known")
 
 
 @query("select p_name, count(*)::bigint as n, count_if(p_size % 7 = 0)::bigint as n_undated from part group by 1 having count_if(p_size % 7 = 0) between 1 and count(*) - 1")
@@ -99,3 +100,11 @@ def slug_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = rows.where("c_custkey % 23 <> 0").selectExpr("c_name", "'s' || (c_custkey + if(c_custkey % 17 = 0, 1, 0)) as slug", "if(c_custkey % 19 = 0, 'moved', c_mktsegment) as seg")
     found = V.changes(old, new, "c_name", ["slug", "seg"])
     return found.withColumn("fails", (F.col("change") == "changed") & F.array_contains("changed", "slug"))
+
+
+@query("""select substr(sha256(gate || '|' || same), 1, 12) as ticket, gate, min(log) as log from (select l_returnflag as gate, 'line ' || l_linenumber || '  failed' as log, 'line 0 failed' as same from lineitem union all select 'other', 'x ' || c_mktsegment, lower('x ' || c_mktsegment) from customer)
+where substr(sha256(gate || '|' || same), 1, 12) <> substr(sha256('A|line 0 failed'), 1, 12) group by 1, 2""")
+def new_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as gate", "'line ' || l_linenumber || '  failed' as log").union(table(spark, sf_dir, "customer").selectExpr("'other'", "'x ' || c_mktsegment"))
+    filed = spark.range(1).select(F.substring(F.sha2(F.lit("A|line 0 failed").cast("binary"), 256), 1, 12).alias("ticket"))
+    return S.new_tickets(failures, filed)

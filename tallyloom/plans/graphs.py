@@ -34,15 +34,9 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.closure(_parents(spark, sf_dir).select(F.col("child").alias("src"), F.col("parent").alias("dst")), 40)
 
 
-@query(f"{TREE}, d(root, node, level) as (select c_custkey, c_custkey, 0 from customer where c_custkey between 1 and 20 union all select d.root, p.child, d.level + 1 from d join p on p.parent = d.node where d.level < 6) select root, count(*)::bigint as n, max(level)::int as depth from d where level > 0 group by 1")
-def descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = table(spark, sf_dir, "customer").where("c_custkey between 1 and 20").select(F.col("c_custkey").alias("node"))
-    return G.descendant_paths(_parents(spark, sf_dir), roots, 6).groupBy("root").agg(F.count("*").alias("n"), F.max("level").alias("depth"))
-
-
 @query(f"{TREE}, d(root, node, level) as (select c_custkey, c_custkey, 0 from customer union all select d.root, p.child, d.level + 1 from d join p on p.parent = d.node where d.level < 6) select root, count(*)::bigint as n, max(level)::int as depth from d where level > 0 group by 1")
-def descendant_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """descendant_counts with all customers as roots."""
+def descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all customers, six generations deep."""
     roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
     return G.descendant_totals(_parents(spark, sf_dir), roots, 6)
 
@@ -90,13 +84,13 @@ def dangling_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ISSUES_SQL = """select 'repeated_identity' as gate, p_name || '|' || p_brand as key, count(*)::varchar as detail, 'low' as severity from part group by p_name, p_brand having count(*) > 6
 union all select 'negative_balance', c_custkey::varchar, c_mktsegment, 'medium' from customer where c_acctbal < -900
-union all select 'shipped_before_order', l_orderkey::varchar, l_linenumber::varchar, 'high' from lineitem join orders on o_orderkey = l_orderkey where l_shipdate < o_orderdate and l_partkey % 50 = 0"""
+union all select 'shipped_before_order', l_orderkey::varchar, l_linenumber::varchar, 'high' from lineitem join orders on o_orderkey = l_orderkey where l_shipdate < o_orderdate"""
 
 
-def _issues(spark: SparkSession, sf_dir: str, lines: str = "l_partkey % 50 = 0") -> DataFrame:
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.count("*").alias("n")).where("n > 6")
     poor = table(spark, sf_dir, "customer").where("c_acctbal < -900")
-    early = table(spark, sf_dir, "lineitem").where(lines).join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).where("l_shipdate < o_orderdate")
+    early = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).where("l_shipdate < o_orderdate")
     return Q.united([Q.issues(part, "repeated_identity", F.concat_ws("|", "p_name", "p_brand"), F.col("n"), "low"), Q.issues(poor, "negative_balance", F.col("c_custkey"), F.col("c_mktsegment"), "medium"), Q.issues(early, "shipped_before_order", F.col("l_orderkey"), F.col("l_linenumber"), "high")])
 
 
@@ -110,20 +104,6 @@ def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.score(_issues(spark, sf_dir))
 
 
-#: Of the lines of all parts; the queries above are of every 50th part.
-WHOLE_ISSUES_SQL = ISSUES_SQL.removesuffix(" and l_partkey % 50 = 0")
-
-
-@query(WHOLE_ISSUES_SQL)
-def gate_issues_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir, "true")
-
-
-@query(f"select h as n_high, m as n_medium, l as n_low, greatest(0, least(10, round(10 - 2 * h - 0.5 * m - 0.05 * l, 2)))::double as score from (select count_if(severity = 'high')::bigint as h, count_if(severity = 'medium')::bigint as m, count_if(severity = 'low')::bigint as l from ({WHOLE_ISSUES_SQL}))")
-def gate_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.score(_issues(spark, sf_dir, "true"))
-
-
 @query("""select 'coverage' as gate, avg((s_suppkey is not null)::int)::double as share, count(*)::bigint as n from lineitem left join (select s_suppkey from supplier where s_suppkey % 7 <> 0) s on s_suppkey = l_suppkey""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select("s_suppkey")

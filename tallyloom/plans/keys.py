@@ -25,13 +25,16 @@ def living_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_hits(rows, "doc_id", "said", L.RULES, L.LET_THROUGH)
 
 
-@query("""with s as (select distinct case when p_partkey % 5 = 0 then p_brand else p_brand || '-' || (1800 + p_size) end as slug from part where p_partkey % 40 < 2), k as (select distinct p_brand as key from part union select 'none'),
-d as (select regexp_replace(slug, '-[0-9]{4}$', '') as base, count(*) as n, min(slug) as one from s where regexp_matches(slug, '-[0-9]{4}$') group by 1)
+BRANDED = "p_brand || ' ' || p_name"
+
+
+@query(f"""with s as (select distinct case when p_partkey % 5 = 0 then {BRANDED} else {BRANDED} || '-' || (1800 + p_size) end as slug from part), k as (select distinct {BRANDED} as key from part union select 'none'),
+d as (select regexp_replace(slug, '-[0-9]{{4}}$', '') as base, count(*) as n, min(slug) as one from s where regexp_matches(slug, '-[0-9]{{4}}$') group by 1)
 select key, case when s.slug is not null then 'exact' when n = 1 then 'dated' when n > 1 then 'ambiguous' else 'missing' end as how, case when s.slug is not null then s.slug when n = 1 then one end as slug from k left join s on s.slug = key left join d on base = key""")
 def manifest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    keys = part.select(F.col("p_brand").alias("key")).union(spark.range(1).select(F.lit("none")))
-    return E.manifest_keys(keys, "key", part.where("p_partkey % 40 < 2").selectExpr("if(p_partkey % 5 = 0, p_brand, p_brand || '-' || (1800 + p_size)) as slug"), "slug")
+    keys = part.select(F.expr(BRANDED).alias("key")).union(spark.range(1).select(F.lit("none")))
+    return E.manifest_keys(keys, "key", part.selectExpr(f"if(p_partkey % 5 = 0, {BRANDED}, {BRANDED} || '-' || (1800 + p_size)) as slug"), "slug")
 
 
 @query("select l_partkey as ref, list_sort(list(distinct l_orderkey || ':' || l_returnflag)) as contexts from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 3 > 0) group by 1")
@@ -54,3 +57,24 @@ def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier")
     old = rows.where("s_suppkey % 3 > 0").selectExpr("s_suppkey", "if(s_suppkey % 4 > 0, s_name, null) as body")
     return V.drift(old, rows.where("s_suppkey % 5 > 0").selectExpr("s_suppkey", "if(s_suppkey % 8 > 0, s_name, null) as body"), "s_suppkey", "body")
+
+
+@query("""with o as (select o_custkey as k, list(distinct o_orderkey::varchar) as e from orders where o_custkey % 7 > 0 group by 1), n as (select o_custkey as k, list(distinct o_orderkey::varchar) as e from orders where o_custkey % 11 > 0 and o_orderkey % 6 > 0 group by 1),
+w as (select o.k, case when o.k % 13 = 5 then o.k + 1 else o.k end as now, e from o where o.k % 17 <> 4)
+select w.k, 'vanished' as issue, '' as column, [] as entries from w where now not in (select k from n) union all select w.k, 'shrank', 'e', list_sort(list_filter(w.e, lambda x: not list_contains(n.e, x))) from w join n on n.k = w.now where len(list_filter(w.e, lambda x: not list_contains(n.e, x))) > 0
+union all select n.k, 'below_minimum', 'e', [] from n where n.k % 3 = 0 and len(n.e) < 9""")
+def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    entries = lambda where: orders.where(where).groupBy("k").agg(F.collect_set(F.col("o_orderkey").cast("string")).alias("e"))
+    keys = orders.select("k").distinct()
+    renames = keys.where("k % 13 = 5").select(F.col("k").alias("from"), (F.col("k") + 1).alias("to"))
+    least = keys.where("k % 3 = 0").select("k", F.lit("e").alias("column"), F.lit(9).alias("n"))
+    return V.gone_or_short(entries("k % 7 > 0"), entries("k % 11 > 0 and o_orderkey % 6 > 0"), "k", ["e"], keys.where("k % 17 = 4"), renames, least)
+
+
+@query("with s as (select user_id, max(ts) as ts from events where event_id % 2 = 0 group by 1), a as (select user_id, max(ts) as ts from events where user_id % 3 = 0 group by 1) select coalesce(s.user_id, a.user_id) as user_id, coalesce(a.ts, s.ts) as ts from s full join a on a.user_id = s.user_id")
+def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a run of which the rows of some keys were accepted."""
+    events = table(spark, sf_dir, "events")
+    last = lambda df: df.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return V.advanced(last(events.where("event_id % 2 = 0")), last(events.where("user_id % 3 = 0")), "user_id", "ts")

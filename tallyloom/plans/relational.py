@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import resolve as X
 from ..operators import search as S
 from ..operators import versions as V
@@ -32,9 +33,9 @@ def letter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(T.first_letter(F.col("p_name")).alias("letter")).agg(F.array_sort(F.collect_set("p_name")).alias("names"))
 
 
-@query("select p_type, list(p_partkey order by p_size, p_partkey) as members from part where p_size <= 10 group by 1")
+@query("select p_type, list(p_partkey order by p_size, p_partkey) as members from part group by 1")
 def ordered_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_size <= 10").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_size", "p_partkey"))).alias("m"))
+    rows = table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_size", "p_partkey"))).alias("m"))
     return rows.select("p_type", F.transform("m", lambda x: x.p_partkey).alias("members"))
 
 
@@ -63,9 +64,11 @@ def disambiguated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.disambiguated(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_name", "p_partkey", "p_size").select("p_partkey", "shown")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_orderpriority = '1-URGENT')")
 def isolated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Rows without any relation of a kind."""
+    related = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(related, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
@@ -97,11 +100,11 @@ def identical_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("""with u as (select p_name as name, min(p_partkey) as key from part where p_size = 7 group by 1 having count(distinct p_partkey) = 1) select p_partkey, u.key from part left join u on u.name = p_name where p_size < 4""")
+@query("""with u as (select p_name as name, min(p_partkey) as key from part group by 1 having count(distinct p_partkey) = 1) select p_partkey, u.key from part left join u on u.name = p_name""")
 def unique_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    right = part.where("p_size = 7").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
-    return X.unique_join(part.where("p_size < 4").select("p_partkey", F.col("p_name").alias("name")), right, "name", "key").select("p_partkey", "key")
+    right = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
+    return X.unique_join(part.select("p_partkey", F.col("p_name").alias("name")), right, "name", "key").select("p_partkey", "key")
 
 
 RANGES = [(1995, 1996), (1997, 1999), (2000, 2001)]
@@ -114,13 +117,13 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with a as (select c_custkey, case when c_custkey % 4 = 0 then c_custkey + 1 else c_custkey end as says from customer), b as (select c_custkey as says, c_custkey - c_custkey % 2 as back from customer)
-select a.c_custkey from a where not exists (select 1 from b where b.says = a.says and b.back = a.c_custkey)""")
+select a.c_custkey, a.says from a where not exists (select 1 from b where b.says = a.says and b.back = a.c_custkey)""")
 def one_way_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children that a row names and that don't name it as their parent."""
     k = F.col("c_custkey")
     people = table(spark, sf_dir, "customer")
-    a = people.select("c_custkey", F.when(k % 4 == 0, k + 1).otherwise(k).alias("says"))
-    b = people.select(k.alias("other"), (k - k % 2).alias("back"))
-    return a.join(b, (a.says == b.other) & (a.c_custkey == b.back), "left_anti").select("c_custkey")
+    edges = people.select(F.lit("child").alias("kind"), k.alias("src"), F.when(k % 4 == 0, k + 1).otherwise(k).alias("dst")).union(people.select(F.lit("parent"), k, k - k % 2))
+    return G.one_way(edges, "child", "parent").select(F.col("src").alias("c_custkey"), F.col("dst").alias("says"))
 
 
 GATE_SQL = """select c_custkey, case relation when 'parent' then coalesce(birth - other >= 11, true) and coalesce(birth - other <= 60, true) and coalesce(birth <= other_death, true) when 'child' then coalesce(other - birth >= 11, true) and coalesce(other - birth <= 60, true) and coalesce(other <= death, true)
@@ -136,24 +139,6 @@ def date_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", ok.alias("ok"))
 
 
-@query("""with p as (select p_partkey as slug, p_name as name, 1800 + p_size as birth from part where p_partkey % 20 = 0),
-r as (select p_partkey as ref_id, p_name as name, case when p_partkey % 2 = 0 then 1800 + p_size end as year, p_type from part where p_partkey % 3 = 0),
-c as (select ref_id, 0 as pr, 'name_year' as rule, slug, true as ok from r join p using (name) where r.year = p.birth
- union all select ref_id, 1, 'name_near_year', slug, true from r join p using (name) where abs(r.year - p.birth) <= 2
- union all select ref_id, 2, 'name', slug, coalesce(abs(r.year - p.birth) <= 25, true) from r join p using (name)),
-g as (select ref_id, pr, rule, count(distinct slug) filter (where ok) as n, min(slug) filter (where ok) as one from c group by all),
-b as (select ref_id, min(pr) filter (where n > 0) as pr from g group by ref_id)
-select r.ref_id, case when g.n = 1 then g.one end as slug, g.rule, case when g.n = 1 then 'resolved' when g.n > 1 then 'ambiguous' when b.ref_id is not null then 'refused_dates' else 'unresolved' end as status
-from r left join b using (ref_id) left join g on g.ref_id = b.ref_id and g.pr = b.pr""")
-def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    people = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"), (F.col("p_size") + 1800).alias("birth"))
-    refs = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1800).alias("year"))
-    both = refs.join(people, "name").select("ref_id", "slug", "year", "birth")
-    gate = F.coalesce(F.abs(F.col("year") - F.col("birth")) <= 25, F.lit(True))
-    return X.resolve(refs, [("name_year", both.where("year = birth")), ("name_near_year", both.where("abs(year - birth) <= 2")), ("name", both)], gate)
-
-
 @query("""with p as (select p_partkey as slug, p_name as name, 1800 + p_size as birth from part),
 r as (select p_partkey as ref_id, p_name as name, case when p_partkey % 2 = 0 then 1800 + p_size end as year from part),
 c as (select ref_id, 0 as pr, 'name_year' as rule, slug, true as ok from r join p using (name) where r.year = p.birth
@@ -163,8 +148,8 @@ g as (select ref_id, pr, rule, count(distinct slug) filter (where ok) as n, min(
 b as (select ref_id, min(pr) filter (where n > 0) as pr from g group by ref_id)
 select r.ref_id, case when g.n = 1 then g.one end as slug, g.rule, case when g.n = 1 then 'resolved' when g.n > 1 then 'ambiguous' when b.ref_id is not null then 'refused_dates' else 'unresolved' end as status
 from r left join b using (ref_id) left join g on g.ref_id = b.ref_id and g.pr = b.pr""")
-def resolved_references_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """resolved_references with all parts as candidates and as references."""
+def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as candidates and as references, by three rules on name and year; the whole cascade is reference_cascade."""
     part = table(spark, sf_dir, "part")
     people = part.select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"), (F.col("p_size") + 1800).alias("birth"))
     refs = part.select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1800).alias("year"))
@@ -205,10 +190,12 @@ def ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ratchet(count(events.where("user_id % 10 <> 0")), count(events), "event_type", 0.1, 5)
 
 
-@query("select user_id, event_id from (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before = 'signup' and event_type = 'purchase'")
+@query("with o as (select user_id, max_by(event_type, (ts, event_id)) as s from events where ts < timestamp '2024-01-15' group by 1), n as (select user_id, max_by(event_type, (ts, event_id)) as s from events group by 1) select user_id, o.s as was, n.s as now from o join n using (user_id) where o.s in ('signup', 'view') and n.s = 'purchase'")
 def status_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", before.alias("before")).where("before = 'signup' and event_type = 'purchase'").select("user_id", "event_id")
+    """Keys that an earlier version has in one state and the present one in another."""
+    events = table(spark, sf_dir, "events")
+    last = lambda df: df.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    return V.transitions(last(events.where("ts < timestamp '2024-01-15'")), last(events), "user_id", "state", ["signup", "view"], ["purchase"])
 
 
 @query("select user_id, min(ts) as first_seen, min_by(event_type, (ts, event_id)) as first_type, max_by(event_type, (ts, event_id)) as last_type from events group by 1")
@@ -217,20 +204,10 @@ def first_and_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
 
 
-@query("""with t as (select year(o_orderdate)::int as year, 'order' as what, o_orderkey as key from orders where o_custkey < 20 union all select year(l_shipdate)::int, 'ship', l_orderkey from lineitem where l_partkey < 5 union all select 1999, 'fixed', 0)
-select year, what, key, floor(year / 10) is distinct from lag(floor(year / 10)) over (order by year, what, key) as new_decade from t""")
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated rows of several tables in one order, the first of each decade marked; a decade's rows are numbered by themselves."""
-    a = table(spark, sf_dir, "orders").where("o_custkey < 20").select(F.year("o_orderdate").alias("year"), F.lit("order").alias("what"), F.col("o_orderkey").alias("key"))
-    b = table(spark, sf_dir, "lineitem").where("l_partkey < 5").select(F.year("l_shipdate").alias("year"), F.lit("ship").alias("what"), F.col("l_orderkey").alias("key"))
-    rows = a.unionByName(b).unionByName(spark.range(1).select(F.lit(1999).alias("year"), F.lit("fixed").alias("what"), F.lit(0).cast("long").alias("key")))
-    return rows.withColumn("new_decade", F.row_number().over(W.partitionBy(F.floor(F.col("year") / 10)).orderBy("year", "what", "key")) == 1)
-
-
 @query("""with t as (select year(o_orderdate)::int as year, 'order' as what, o_orderkey as key from orders union all select year(l_shipdate)::int, 'ship', l_orderkey from lineitem union all select 1999, 'fixed', 0)
 select year, what, key, floor(year / 10) is distinct from lag(floor(year / 10)) over (order by year, what, key) as new_decade from t""")
-def timeline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """timeline of all orders and lines. The least row of each decade is marked; of equal rows, one."""
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated rows of several tables; the least row of each decade is marked; of equal rows, one."""
     a = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.lit("order").alias("what"), F.col("o_orderkey").alias("key"))
     b = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.lit("ship").alias("what"), F.col("l_orderkey").alias("key"))
     rows = a.unionByName(b).unionByName(spark.range(1).select(F.lit(1999).alias("year"), F.lit("fixed").alias("what"), F.lit(0).cast("long").alias("key")))

@@ -46,8 +46,8 @@ def phantom_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select page_id, page_id % 4 <> 0 as noindex, page_id % 5 <> 0 as canonical, t in (select page_id from pages where page_id % 3 <> 0) as target_known, t in (select page_id from s) as target_is_stub from s)
 select * from r where not (noindex and canonical and target_known) or target_is_stub""")
 def redirect_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'/p/' || page_id as url")
-    html = """if(page_id % 4 <> 0, '<meta name="robots" content="noindex">', '') || '<link rel="canonical" href="' || if(page_id % 5 = 0, '', 'https://example.org') || url || '">'
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "'/p/' || page_id as url", "html as own")
+    html = """own || if(page_id % 4 <> 0, '<meta name="robots" content="noindex">', '') || '<link rel="canonical" href="' || if(page_id % 5 = 0, '', 'https://example.org') || url || '">'
       || '<meta http-equiv="refresh" content="0; url=/p/' || (page_id + 1 + if(page_id % 14 = 0, 1, 0)) || '">'"""
     return P.redirect_health(pages.where("page_id % 2 = 0").selectExpr("*", f"{html} as html"), "page_id", "url", "html", pages.where("page_id % 3 <> 0"), "url")
 
@@ -55,7 +55,7 @@ def redirect_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select page_id, 'Nan Q' || repeat('x', 4) || ' Elm' as name, page_id % 3 = 0 as linked from pages where page_id % 3 < 2 and page_id % 5 > 0 and (page_id % 3 = 0 or page_id % 2 = 0)""")
 def withheld_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "case page_id % 3 when 0 then '<p><a href=\"/x\">Nan Qxxxx Elm</a>' when 1 then '<p>nan  qxxxx elm' else '<p>Nan Qxxxx' end || ' Al Ox</p>'"
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", f"if(page_id % 5 = 0, '<meta name=\"robots\" content=\"noindex\">', '') || {said} as html")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", f"if(page_id % 5 = 0, '<meta name=\"robots\" content=\"noindex\">', '') || html || {said} as html")
     names = spark.createDataFrame([("Nan Qxxxx Elm",), ("Al Ox",), ("Nan",)], "name string")
     return P.withheld_leaks(pages, "page_id", "html", F.col("page_id") % 2 == 1, names, "name")
 
@@ -63,7 +63,7 @@ def withheld_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select page_id, case page_id % 4 when 0 then 'resolved' when 1 then 'withheld' when 2 then 'contradicted' else 'resolved' end as status, page_id % 3 as shown from pages)
 select page_id, status, case when status = 'resolved' then case when shown = 0 then 'ok' else 'not_linked' end when status = 'withheld' then case when shown = 2 then 'missing' when shown = 0 then 'linked' else 'ok' end else 'unresolved' end as verdict from r""")
 def rendered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "case page_id % 3 when 0 then '<a href=\"/a\">Ann Oak</a>' when 1 then '<a href=\"/b\">more</a> Ann Oak' else '<b>none</b>' end as html")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "html || case page_id % 3 when 0 then '<a href=\"/a\">Ann Oak</a>' when 1 then '<a href=\"/b\">more</a> Ann Oak' else '<b>none</b>' end as html")
     refs = pages.selectExpr("page_id", "'Ann Oak' as name", "case page_id % 4 when 1 then 'withheld' when 2 then 'contradicted' else 'resolved' end as status")
     return P.rendered_references(refs, pages, "page_id", "html", "name", "status").select("page_id", "status", "verdict")
 
@@ -71,31 +71,25 @@ def rendered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select url, case when page_id % 4 > 0 then '2026-01-0' || (1 + page_id % 3) end as stated, '2026-01-0' || (1 + page_id % 2) as lastmod from (select page_id, '/p/' || page_id as url from pages) where page_id % 4 = 0 or page_id % 3 <> page_id % 2""")
 def stale_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = """if(page_id % 4 > 0, '<script type="application/ld+json">{"@type": "Page", "dateModified": "2026-01-0' || (1 + page_id % 3) || 'T08:00:00Z"}</script>', '<p>none</p>')"""
-    pages = table(spark, sf_dir, "pages").selectExpr("'/p/' || page_id as url", f"{block} as html", "to_timestamp('2026-01-0' || (1 + page_id % 2)) as lastmod")
+    pages = table(spark, sf_dir, "pages").selectExpr("'/p/' || page_id as url", f"html || {block} as html", "to_timestamp('2026-01-0' || (1 + page_id % 2)) as lastmod")
     return P.stale_stamps(pages, "url", "html", pages, "url", "lastmod")
 
 
-@query("select doc_id, length(replace(replace(substr(text, 1, 100 + doc_id % 100), '&', 'and'), '<', '')) + 4 as length from documents where length(replace(replace(substr(text, 1, 100 + doc_id % 100), '&', 'and'), '<', '')) + 4 > 160")
-def descriptions_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "replace(replace(substr(text, 1, 100 + doc_id % 100), '&', 'and'), '<', '') || '&amp;&lt;&#39;&quot;' as said"
-    return P.over_budget(table(spark, sf_dir, "documents").selectExpr("doc_id", text), "doc_id", "said")
-
-
-@query(r"""with c as (select doc_id, text, substr(text, 1, 160) as cut from documents where length(text) > 160),
-e as (select *, 160 - length(regexp_extract(reverse(cut), '^[^.!?]*')) as s, 160 - length(regexp_extract(reverse(cut), '^[^,;:]*')) as k, 160 - length(regexp_extract(reverse(cut), '^\S*')) as b from c),
-d as (select doc_id, case when s > 96 then substr(cut, 1, s) when k > 96 then regexp_replace(substr(cut, 1, k), '[\s,;:]+$', '') || '…' when b > 96 then regexp_replace(substr(cut, 1, b), '[\s,;:]+$', '') || '…' else regexp_replace(cut, '[\s,;:]+$', '') || '…' end as said from e)
+@query(r"""with c as (select doc_id, text, substr(text, 1, 175) as cut, length(text) <= 175 as whole from documents where length(text) > 160),
+e as (select *, 175 - length(regexp_extract(reverse(cut), '^[^.!?]*')) as s, 175 - length(regexp_extract(reverse(cut), '^[^,;:]*')) as k, 175 - length(regexp_extract(reverse(cut), '^\S*')) as b from c),
+d as (select doc_id, case when whole then text when s > 105 then substr(cut, 1, s) when k > 105 then regexp_replace(substr(cut, 1, k), '[\s,;:]+$', '') || '…' when b > 105 then regexp_replace(substr(cut, 1, b), '[\s,;:]+$', '') || '…' else regexp_replace(cut, '[\s,;:]+$', '') || '…' end as said from e)
 select doc_id, length(said) as length from d where length(said) > 160""")
-def descriptions_over_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """descriptions_over_budget of the descriptions that the library makes of whole texts, as pages show them."""
-    shown = T.clamp(F.col("text"))
+def descriptions_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of descriptions of up to 175 characters that the library makes of whole texts, as pages show them."""
+    shown = T.clamp(F.col("text"), 175)
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         shown = F.replace(shown, F.lit(char), F.lit(entity))
     return P.over_budget(table(spark, sf_dir, "documents").select("doc_id", shown.alias("said")), "doc_id", "said")
 
 
-@query("select page_id, case when page_id % 3 = 0 then 0 when page_id % 3 = 1 then 6 else 1 end as h1, case when page_id % 3 = 2 then 15 else 1 end as h2 from pages where page_id % 3 < 2")
+@query("""select page_id, strpos(lower(h), '<h1')::int as h1, strpos(lower(h), '<h2')::int as h2 from (select page_id, case page_id % 3 when 0 then replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') when 1 then replace(html, '<h1>', '<h2>b</h2><H1 id="a">') else replace(html, '</h1>', '</h1><h2>b</h2>') end as h from pages) where strpos(lower(h), '<h1') = 0 or (strpos(lower(h), '<h2') > 0 and strpos(lower(h), '<h2') < strpos(lower(h), '<h1'))""")
 def heading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "case page_id % 3 when 0 then '<h2>b</h2>' when 1 then '<h2>b<H1 id=\"a\">a' else '<h1>a</h1><h2>b' end as html")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", """case page_id % 3 when 0 then replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') when 1 then replace(html, '<h1>', '<h2>b</h2><H1 id="a">') else replace(html, '</h1>', '</h1><h2>b</h2>') end as html""")
     return P.heading_order(pages, "page_id", "html")
 
 
@@ -111,9 +105,12 @@ def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.missing_evidence(rows, rows.where("c_custkey % 2 = 0"), "c_custkey", F.col("level"), F.col("single"), F.col("source"), F.col("provisional"), [F.col("receipt"), F.col("c_custkey")]).select("c_custkey")
 
 
-@query("select * from (values ('same', 'fresh'), ('other', 'stale'), ('empty', 'missing')) t(case_name, state)")
+SNAPSHOTS = {"same": "select * from customer", "other": "select c_custkey, c_name, c_nationkey, c_acctbal, case when c_custkey = 3 then 'moved' else c_mktsegment end as c_mktsegment from customer", "empty": "select * from customer where false"}
+
+
+@query(" union all ".join(f"select '{name}' as case_name, case when not exists ({sql}) then 'missing' when exists (({sql}) except all select * from customer) or exists (select * from customer except all ({sql})) then 'stale' else 'fresh' end as state" for name, sql in SNAPSHOTS.items()))
 def snapshot_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    cases = {"same": nation.repartition(3, "n_name"), "other": nation.withColumn("n_regionkey", F.col("n_regionkey") + (F.col("n_nationkey") == 3).cast("int")), "empty": nation.where("false")}
-    parts = [P.snapshot_state(df, nation).select(F.lit(name).alias("case_name"), "state") for name, df in cases.items()]
+    customer = table(spark, sf_dir, "customer")
+    customer.createOrReplaceTempView("snapshot_of_customer")
+    parts = [P.snapshot_state(spark.sql(sql.replace("from customer", "from snapshot_of_customer")).repartition(3, "c_name"), customer).select(F.lit(name).alias("case_name"), "state") for name, sql in SNAPSHOTS.items()]
     return parts[0].union(parts[1]).union(parts[2])

@@ -56,14 +56,8 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.slugify(F.concat("c_name", F.lit(" of "), "c_mktsegment")).alias("slug"))
 
 
-@query(f"select doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 60)), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
+@query("select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
 def folded_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60), fold=True).alias("slug"))
-
-
-@query(f"select doc_id, trim(regexp_replace(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
-def folded_slugs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """folded_slugs of whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text"), fold=True).alias("slug"))
 
 
@@ -159,10 +153,10 @@ def withheld_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, "'by ' || p_name || ' and ' || p_type", "t").select("p_partkey", R.names_scrubbed(F.col("t"), ["bolt", "blue bolt"]).alias("text"))
 
 
-@query("""select doc_id, n::bigint as line, x as found from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from documents), (select unnest(regexp_extract_all(l, '(?i)\\b(?:password|secret)\\b')) as x)""")
+@query("""select doc_id, n::bigint as line, x as found from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from documents), (select unnest(regexp_extract_all(l, '(?i)\\b(?:password|secret|license)\\b')) as x)""")
 def forbidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l"))
-    return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), F.explode(F.regexp_extract_all("l", F.lit(r"(?i)\b(?:password|secret)\b"), F.lit(0))).alias("found"))
+    return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), F.explode(F.regexp_extract_all("l", F.lit(r"(?i)\b(?:password|secret|license)\b"), F.lit(0))).alias("found"))
 
 
 @query("select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events")
@@ -182,8 +176,8 @@ def symbols_and_doubt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, case when shown = '' then 'b. ' || year else shown end as display from (select p_partkey, 1800 + p_size as year, case when p_partkey % 2 = 0 then '' else p_name end as shown from part)")
 def healed_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown, year = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_name")), (F.col("p_size") + 1800).cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when((shown == "") & year.isNotNull(), F.concat(F.lit("b. "), year)).otherwise(shown).alias("display"))
+    shown = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.healed(shown, F.col("p_size") + 1800).alias("display"))
 
 
 @query("select c_custkey, md5(c_name) as md5, substr(sha256(c_name || '|' || c_mktsegment), 1, 12) as mark from customer")
@@ -191,9 +185,28 @@ def content_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.col("c_name").cast("binary")).alias("md5"), T.fingerprint([F.col("c_name"), F.col("c_mktsegment")]).alias("mark"))
 
 
-@query("""select kind, count(*)::bigint as n from (select case event_type when 'signup' then 'parent' when 'view' then 'sibling' when 'click' then 'sibling' when 'purchase' then 'spouse' end as kind from events) group by kind""")
+@query("""select event_type as spelling, case event_type when 'signup' then 'parent' when 'view' then 'sibling' when 'click' then 'sibling' when 'purchase' then 'spouse' end as kind, count(*)::bigint as n from events group by 1, 2""")
 def mapped_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spellings to kinds by a table; what it lacks stays null, to be reported."""
-    kinds = spark.createDataFrame([("signup", "parent"), ("view", "sibling"), ("click", "sibling"), ("purchase", "spouse")], "spelling string, kind string")
-    rows = table(spark, sf_dir, "events").select("event_type").join(F.broadcast(kinds), F.col("event_type") == F.col("spelling"), "left")
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = {"signup": "parent", "view": "sibling", "Click ": "sibling", "purchase": "spouse"}
+    rows = T.mapped(table(spark, sf_dir, "events"), "event_type", kinds, "kind")
+    return rows.groupBy(F.col("event_type").alias("spelling"), "kind").agg(F.count("*").alias("n"))
+
+
+#: Spellings of relations and the kinds of edges that they make.
+KINDS = {"parent": "father mother parent", "child": "son daughter child", "spouse": "husband wife spouse partner", "sibling": "brother sister sibling half-brother half-sister", "step": "step-father step-mother step-parent step-son step-daughter step-child step-brother step-sister", "derived": "grandfather grandmother grandparent grandson granddaughter grandchild uncle aunt nephew niece cousin"}
+SPELLINGS = {f"{word}{more}": kind for kind, words in KINDS.items() for word in words.split() for more in ("", "s")} | {"children": "child", "wives": "spouse", "step-children": "step", "grandchildren": "derived", "nieces and nephews": "derived"}
+SAID = "split_part('Father,mothers,Sons,daughter,CHILDREN,wives, Husband,half-sister,Step-children,Nieces and nephews,friend,uncles', ',', cast(1 + p_partkey % 12 as int))"
+
+
+@query("select p_partkey, split_part('parent,parent,child,child,child,spouse,spouse,sibling,step,derived,,derived', ',', 1 + p_partkey % 12) as kind from part")
+def edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.mapped(table(spark, sf_dir, "part").select("p_partkey", F.expr(SAID).alias("said")), "said", SPELLINGS, "kind")
+    return rows.select("p_partkey", F.coalesce("kind", F.lit("")).alias("kind"))
+
+
+@query("select p_partkey, path, value from (select p_partkey, '$.name' as path, p_name as value from part union all select p_partkey, '$.tags[0]', p_brand from part union all select p_partkey, '$.tags[1].of', p_type from part)")
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of nested JSON with its path."""
+    raw = F.to_json(F.struct(F.col("p_name").alias("name"), F.array(F.col("p_brand"), F.lit("{}")).alias("tags"), F.col("p_size").alias("n")))
+    nested = F.replace(raw, F.lit('"{}"'), F.concat(F.lit('{"of": "'), "p_type", F.lit('", "n": null}')))
+    return T.json_strings(table(spark, sf_dir, "part").select("p_partkey", nested.alias("doc")), "p_partkey", "doc")
