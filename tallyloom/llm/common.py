@@ -41,7 +41,7 @@ _running = threading.local()
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", kept: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no recomputation. kept: it outlives the operator that writes it."""
+    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no recomputation. kept: it outlives the innermost released() that it is written in."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     scopes = getattr(_running, "scopes", [])

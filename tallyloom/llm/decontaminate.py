@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK) ->
     all named; an item with a null item_id hits words but isn't named; empty
     tables hit nothing. Further columns aren't looked at.
     """
-    found = search(written(build_index(docs), "positions", kept=True), benchmark, slack)
+    found = search(written(build_index(docs), "positions"), benchmark, slack)
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
