@@ -113,3 +113,30 @@ def plausible(relation: Column, birth: Column, death: Column, other_birth: Colum
     together = F.coalesce(other_birth <= death, F.lit(True)) & F.coalesce(birth <= other_death, F.lit(True)) if gate.overlap else F.lit(True)
     tested = F.when(relation == "parent", parent(other_birth, other_death, birth)).when(relation == "child", child).when(relation == "spouse", near(gate.spouse) & together).when(relation == "sibling", near(gate.sibling))
     return F.coalesce(tested, F.lit(True))
+
+
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def date_shown(text: Column) -> Column:
+    """'5 March 1890' from '1890-03-05' or '05 march 1890', for any day from 1 to 31, as notes have such days; approximate dates and bare years are null."""
+    t = F.trim(text)
+    iso, said = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", r"^([0-9]{1,2})\s+([A-Za-z]+)\s+([0-9]{4})$"
+    names = F.array(*map(F.lit, MONTHS))
+    part = lambda p, k: F.regexp_extract(t, p, k)
+    number = part(iso, 2).try_cast("int")
+    month = F.when(t.rlike(iso), F.when(number.between(1, 12), F.element_at(names, F.greatest(F.lit(1), F.least(F.lit(12), F.coalesce(number, F.lit(1))))))).otherwise(F.get(F.filter(names, lambda m: F.lower(m) == F.lower(part(said, 2))), F.lit(0)))
+    day = F.when(t.rlike(iso), part(iso, 3)).otherwise(part(said, 1)).try_cast("int")
+    year = F.when(t.rlike(iso), part(iso, 1)).otherwise(part(said, 3))
+    return F.when((t.rlike(iso) | t.rlike(said)) & day.between(1, 31) & month.isNotNull(), F.concat_ws(" ", day.cast("string"), month, year))
+
+
+def split_display(text: Column) -> Column:
+    """(birth, death) of '1850–1900', 'b. 1850', 'd. 1900' or '1850', as they are written; null where nothing is."""
+    get = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
+    return F.struct(F.coalesce(get(r"^\s*([^–-]*[0-9][^–-]*)\s*[–-]"), get(r"(?i)^\s*b\.\s*(\S+)"), get(r"^\s*(~?[0-9]{4})\s*$")).alias("birth"), F.coalesce(get(r"[–-]\s*(.*[0-9].*)$"), get(r"(?i)^\s*d\.\s*(\S+)")).alias("death"))
+
+
+def birth_of(birth: Column, title: Column) -> Column:
+    """The recorded birth, else the one in a title: '(b. 1850)' or '(1850–'."""
+    return F.coalesce(birth, F.nullif(F.regexp_extract(title, r"(?i)\((?:b\.\s*)?~?([0-9]{4})(?:\s*[–-]|\))", 1), F.lit("")).try_cast("int"))

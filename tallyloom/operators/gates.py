@@ -73,3 +73,49 @@ def quoted_urls(rows: DataFrame, key: str, text: str, known: DataFrame, known_ur
     target = known.select(F.col(known_url).alias("_known")).distinct()
     found = urls.join(target, urls.url == F.col("_known"), "left")
     return found.select(key, "url", F.col("url").rlike(r"^https://[a-z0-9.-]+/[^?#]*$").alias("canonical"), F.col("_known").isNotNull().alias("known"))
+
+
+#: Checks of which a single issue is fatal.
+CRITICAL = ("repeated_slug", "repeated_id", "suspect_year", "self_reference", "two_cycle", "impossible_parent")
+
+
+def validation(rows: DataFrame, edges: DataFrame, least: int = 1500, most: int = 2030) -> DataFrame:
+    """Issues of rows (slug, id, name, birth, death) and edges (kind, src, dst), high for the critical ones: repeated slugs, ids, and names with a birth; suspect years; references to oneself; parents of one's parents; parents born after their child; claims that aren't returned."""
+    named = lambda df, gate, key, detail: issues(df, gate, key, detail, "high" if gate in CRITICAL else "low")
+    repeated = lambda gate, key: named(rows.where(key.isNotNull()).groupBy(key.cast("string").alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1"), gate, F.col("_k"), F.col("_n"))
+    odd = lambda y: (F.col(y) < least) | (F.col(y) > most)
+    p = edges.where("kind = 'parent'").select("src", "dst").distinct()
+    born = lambda name: rows.select(F.col("slug").alias(name), F.col("birth").alias(f"_{name}"))
+    dated = p.join(born("src"), "src").join(born("dst"), "dst")
+    back = edges.where("kind = 'child'").select(F.col("src").alias("dst"), F.col("dst").alias("src")).distinct()
+    return united([
+        repeated("repeated_slug", F.col("slug")), repeated("repeated_id", F.col("id")),
+        repeated("repeated_name", F.when(F.col("birth").isNotNull(), F.concat_ws("|", F.lower("name"), F.col("birth").cast("string")))),
+        named(rows.where(odd("birth") | odd("death") | (F.col("death") < F.col("birth"))), "suspect_year", F.col("slug"), F.concat_ws("–", F.col("birth").cast("string"), F.col("death").cast("string"))),
+        named(edges.where("src = dst"), "self_reference", F.col("src"), F.col("kind")),
+        named(p.join(p.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").where("src < dst"), "two_cycle", F.col("src"), F.col("dst")),
+        named(dated.where("_dst >= _src"), "impossible_parent", F.col("src"), F.col("dst")),
+        named(p.join(back, ["src", "dst"], "left_anti"), "not_returned", F.col("src"), F.col("dst")),
+    ])
+
+
+def should_link(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """refs (src, ref) that are no slug of rows (slug, name) though exactly one row has that name: (src, ref, slug)."""
+    low = lambda c: F.lower(F.trim(c))
+    free = refs.join(rows.select(F.col("slug").alias("ref")), "ref", "left_anti")
+    one = rows.groupBy(low("name").alias("_k")).agg(F.count_distinct("slug").alias("_n"), F.min("slug").alias("slug")).where("_n = 1")
+    return free.join(one, low(free.ref) == F.col("_k")).where("src <> slug").select("src", "ref", "slug")
+
+
+def wrong_redirects(redirects: DataFrame, rows: DataFrame) -> DataFrame:
+    """redirects (from, to) whose ends share no first and no last name word, so that they lead to somebody else."""
+    words = lambda c: F.split(F.regexp_replace(c, r"-[0-9]{4}$", ""), "-")
+    known = redirects.join(rows.select(F.col("slug").alias("to")), "to", "left_semi")
+    a, b = words("from"), words("to")
+    return known.where((F.get(a, F.lit(0)) != F.get(b, F.lit(0))) & (F.element_at(a, -1) != F.element_at(b, -1))).select("from", "to")
+
+
+def canaries(found: DataFrame, key: str, value: str, expected: DataFrame) -> DataFrame:
+    """(key, expected, found) of the cases in expected (key, value) that came out otherwise; null means that nothing may be found."""
+    e = expected.select(key, F.col(value).alias("expected"))
+    return e.join(found.select(key, F.col(value).alias("found")), key, "left").where(~F.col("expected").eqNullSafe(F.col("found")))

@@ -131,3 +131,27 @@ def snapshot_state(snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
     seen = F.max(F.when(F.col("of") == "snapshot", F.col("n")))
     same = (F.count_distinct("n") == 1) & (F.min("f").eqNullSafe(F.max("f")))
     return both.agg(F.when(seen == 0, "missing").when(same, "fresh").otherwise("stale").alias("state"))
+
+
+def lifespan_drift(notes: DataFrame, key: str, title: Column, text: Column, name: Column) -> DataFrame:
+    """(key, stated, said): a page whose text gives its own name another lifespan than its title does."""
+    span = r"\(([0-9]{4})\s*[–-]\s*([0-9]{4})\)"
+    own = F.regexp_extract(title, span, 0)
+    quoted = F.regexp_extract_all(text, F.concat(F.lit(r"\Q"), name, F.lit(r"\E\s*(\([0-9]{4}\s*[–-]\s*[0-9]{4}\))")), F.lit(1))
+    plain = lambda c: F.regexp_replace(c, r"[^0-9]+", "-")
+    rows = notes.select(key, own.alias("stated"), F.explode(F.array_distinct(quoted)).alias("said"))
+    return rows.where((F.col("stated") != "") & (plain("stated") != plain("said")))
+
+
+def child_lists(notes: DataFrame, key: str, listed: Column, told: Column) -> DataFrame:
+    """(key, only_listed, only_told): pages whose table and prose name other children, by lower-cased name."""
+    low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(F.trim(x))))
+    rows = notes.select(key, F.array_sort(F.array_except(low(listed), low(told))).alias("only_listed"), F.array_sort(F.array_except(low(told), low(listed))).alias("only_told"))
+    return rows.where("size(only_listed) > 0 or size(only_told) > 0")
+
+
+def announced_and_built(announced: DataFrame, built: DataFrame, key: str) -> DataFrame:
+    """(key, missing): what was announced and isn't built, and what is built unannounced."""
+    a, b = announced.select(key).distinct().withColumn("_a", F.lit(True)), built.select(key).distinct().withColumn("_b", F.lit(True))
+    both = a.join(b, key, "full").where("_a is null or _b is null")
+    return both.select(key, F.when(F.col("_b").isNull(), "built").otherwise("announced").alias("missing"))

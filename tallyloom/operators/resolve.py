@@ -89,3 +89,34 @@ def kept_and_removed(rows: DataFrame, key: str, core: Column, refs: DataFrame, s
     named = refs.join(inner.withColumnRenamed(key, source), source, "left_semi").select(F.col(target).alias(key))
     keep = inner.union(named).union(listed.select(key)).distinct().withColumn("_keep", F.lit(True))
     return rows.select(key).join(keep, key, "left").select(key, F.col("_keep").isNotNull().alias("keep"))
+
+
+def preferred_rows(rows: DataFrame, keys: list[str], slug: str, place: str) -> DataFrame:
+    """One row of each key: the first by place whose slug ends in a year, or the first of all where none does."""
+    dated = F.col(slug).rlike(r"-[0-9]{4}$")
+    return survivors(rows, keys, [dated.desc(), F.asc(place), F.asc(slug)])
+
+
+def same_source_survivors(rows: DataFrame, file: str, slug: str, birth: str, generation: str, deceased: str, text: str, unreached: int = 99) -> DataFrame:
+    """One row of each source file: with a birth before without, with a real generation, deceased, with the longest text; then by slug. Rows without a file all stay."""
+    order = [F.col(birth).isNotNull().desc(), (F.coalesce(F.col(generation), F.lit(unreached)) != unreached).desc(), F.coalesce(F.col(deceased), F.lit(False)).desc(), F.length(F.coalesce(F.col(text), F.lit(""))).desc(), F.asc(slug)]
+    return survivors(rows.where(F.col(file).isNotNull()), [file], order).unionByName(rows.where(F.col(file).isNull()))
+
+
+def repeated_identities(rows: DataFrame) -> DataFrame:
+    """(kind, key, slugs) of rows (slug, name, birth, death, parents) that may be one person: root_death, the same slug without its year and the same death but other births; name_years, the same name and years; undated, the same name and the same parents, none of them dated."""
+    slugs = F.array_sort(F.collect_set("slug")).alias("slugs")
+    row = lambda df, kind: df.where("size(slugs) > 1").select(F.lit(kind).alias("kind"), "key", "slugs")
+    root = rows.where("death is not null").groupBy(F.concat_ws("|", F.regexp_replace("slug", r"-[0-9]{4}$", ""), F.col("death").cast("string")).alias("key")).agg(slugs, F.count_distinct("birth").alias("n")).where("n > 1")
+    years = rows.where("birth is not null and death is not null").groupBy(F.concat_ws("|", F.lower("name"), F.col("birth").cast("string"), F.col("death").cast("string")).alias("key")).agg(slugs)
+    undated = rows.where("birth is null and size(parents) > 0").groupBy(F.concat_ws("|", F.lower("name"), F.array_join(F.array_sort("parents"), ",")).alias("key")).agg(slugs)
+    return row(root, "root_death").unionByName(row(years, "name_years")).unionByName(row(undated, "undated"))
+
+
+def distinct_slugs(rows: DataFrame, bare: str, birth: str, death: str, middle: str, key: str, literal: str = "undated") -> DataFrame:
+    """rows with slug: the bare one where it is a row's alone, else with the birth, the death, the middle names or a literal, whichever is there first, and -2, -3 … in the order of key where that still leaves several."""
+    several = F.count(F.lit(1)).over(W.partitionBy(bare)) > 1
+    more = F.coalesce(F.col(birth).cast("string"), F.col(death).cast("string"), F.nullif(F.regexp_replace(F.lower(F.coalesce(F.col(middle), F.lit(""))), "[^a-z0-9]+", "-"), F.lit("")), F.lit(literal))
+    rows = rows.withColumn("_slug", F.when(several, F.concat_ws("-", F.col(bare), more)).otherwise(F.col(bare)))
+    n = F.row_number().over(W.partitionBy("_slug").orderBy(key))
+    return rows.withColumn("slug", F.when(n > 1, F.concat_ws("-", "_slug", n.cast("string"))).otherwise(F.col("_slug"))).drop("_slug")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aliases, checks, core, family, graphs, keys, notes, people, private, profiles, relational, rendered, site, textual
+from . import aliases, checks, core, family, graphs, keys, notes, people, private, profiles, relational, rendered, site, textual, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (core, textual, notes, people, relational, graphs, family, aliases, private, profiles, site, checks, rendered, keys)
+MODULES = (core, textual, notes, people, relational, graphs, family, aliases, private, profiles, site, validation, checks, rendered, keys)
 FLAGSHIP: Query = core.customers_by_nation_decade
 
 

@@ -9,9 +9,14 @@ from ..functions import text as T
 from ..operators import versions
 
 
+def _plain(name: Column) -> Column:
+    """A path as it is written; Spark's metadata has it with codes."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(file, raw, fields, body) of a folder of markdown notes; index files are left out."""
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(_plain(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("raw"))
     return raw.where(~F.lower("file").isin("index.md", "readme.md")).select("file", "raw", T.front_matter(F.col("raw")).alias("fields"), T.body(F.col("raw")).alias("body"))
 
 
@@ -20,7 +25,8 @@ def json_rows(spark: SparkSession, path: str, schema: str, wrappers: tuple[str,
     raw = spark.read.text(path, wholetext=True)
     array = f"array<struct<{schema}>>"
     wrapped = F.from_json("value", f"struct<{', '.join(f'{w}: {array}' for w in wrappers)}>")
-    rows = raw.select(F.coalesce(*[wrapped[w] for w in wrappers], F.from_json("value", array)).alias("rows")).select(F.inline("rows"))
+    plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", array))
+    rows = raw.select(F.coalesce(*[wrapped[w] for w in wrappers], plain).alias("rows")).select(F.inline("rows"))
     if rows.isEmpty():
         raise ValueError(f"{path} has no rows")
     return rows
@@ -50,7 +56,7 @@ def version_log(spark: SparkSession, path: str, mark: str = "commit ") -> DataFr
 
 def trees(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """(id, title, body, lines, people_refs) of the tree documents of these names."""
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("id"), F.col("value").alias("raw"))
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.regexp_replace(_plain(F.col("_metadata.file_name")), r"\.md$", "").alias("id"), F.col("value").alias("raw"))
     rows = raw.where(F.col("id").isin(names)).withColumn("body", T.body(F.col("raw")))
     title = F.coalesce(F.nullif(F.regexp_extract("body", r"(?m)^# (.*)$", 1), F.lit("")), F.col("id"))
     return rows.select("id", title.alias("title"), "body", F.split("body", r"\r?\n").alias("lines"), F.array_distinct(T.wikilinks(F.col("body"))).alias("people_refs"))
@@ -58,8 +64,7 @@ def trees(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
 
 def note_titles(spark: SparkSession, folder: str, public: list[str], skipped: str) -> DataFrame:
     """(title) of the notes in the public folders of a vault, without those that match skipped; a folder that isn't listed is private."""
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"%20", " ")
-    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(path.alias("path"))
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(_plain(F.col("_metadata.file_path")).alias("path"))
     inner = F.regexp_replace("path", rf"^.*\Q{folder.rstrip('/').split('://')[-1]}\E/", "")
     rows = rows.select(inner.alias("inner"))
     return rows.where(F.regexp_extract("inner", "^([^/]+)/", 1).isin(public) & ~F.col("inner").rlike(skipped)).select(F.regexp_extract("inner", r"([^/]+)\.md$", 1).alias("title"))

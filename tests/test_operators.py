@@ -108,15 +108,44 @@ def test_sources(spark, tmp_path):
     assert sources.write(spark.range(3), str(tmp_path / "out"), apply=True) == 3
 
 
-def test_delta_stream_advances_only_when_accepted(spark, tmp_path):
+def test_delta_stream_offers_refused_rows_again(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
     from tallyloom.streaming import delta_stream, file_stream
 
-    spark.createDataFrame([("a", 1), ("b", 2)], "k string, t long").write.parquet(str(tmp_path / "in"))
     seen = []
-    for accept in (False, True, True):
+
+    def run(checkpoint, accept):
         source = file_stream(spark, str(tmp_path / "in"), "k string, t long")
-        delta_stream(source, str(tmp_path / "state"), str(tmp_path / f"check{len(seen)}"), "k", "t", lambda df, a=accept: seen.append(df.count()) or a).awaitTermination(60)
-    assert seen == [2, 2, 0]
+        delta_stream(source, str(tmp_path / "state"), str(tmp_path / checkpoint), "k", "t", lambda df: seen.append(sorted(map(tuple, df.collect()))) or accept).awaitTermination(60)
+
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, t long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # refused, and refused again
+        with pytest.raises(StreamingQueryException, match="Refused"):
+            run("one", False)
+    run("one", True)
+    run("one", True)  # nothing new
+    assert seen == [[("a", 1), ("b", 2)]] * 3
+    spark.createDataFrame([("b", 3)], "k string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run("one", True)
+    assert seen[3:] == [[("b", 3)]]
+    run("two", True)  # another checkpoint sees all files anew and the same state
+    run("three", True)
+    assert seen[4:] == [[], []]
+    assert {(r.k, r.t) for r in spark.read.parquet(str(tmp_path / "state/*")).groupBy("k").agg({"t": "max"}).toDF("k", "t").collect()} == {("a", 1), ("b", 3)}
+
+
+def test_generations_of_a_long_chain(spark):
+    parents = spark.range(1, 201).selectExpr("id as child", "id - 1 as parent")
+    none = spark.createDataFrame([], "a long, b long")
+    found = graph.generations(spark.range(203).toDF("k"), "k", parents, none, spark.range(1).toDF("k"))
+    assert {r.k: r.generation for r in found.collect()} == {k: k + 1 if k < 201 else 99 for k in range(203)}
+
+
+def test_cycles_in_a_large_tree(spark):
+    tree = spark.range(1, 3000).selectExpr("cast(floor(id / 3) as bigint) as src", "id as dst")
+    loop = spark.createDataFrame([(5, 1), (2999, 2999), (9001, 9002), (9002, 9003)], "src long, dst long")
+    assert sorted(map(tuple, graph.on_cycle(tree.union(loop)).collect())) == [(1, 2), (5, 2), (2999, 1)]
 
 
 def test_merge_with_nulls_and_ties(spark):
