@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import MARKS, among, bitmap, digest_of, identified, released, without, written
-from .components import components
+from .components import components, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -326,7 +326,9 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     cluster = votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("cluster"))
     placed = cluster.join(nodes, "node")
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    placed = written(placed.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "digest", "sig", "block"), "placed")
+    # only clusters of several blocks are looked up, so that a large one's members aren't dealt by cluster
+    placed = placed.join(sizes.where("parts > 1"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = written(placed.withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "digest", "sig", "block"), "placed")
     place = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
     texts = among(identified(docs).withColumn("place", place), "place", bitmap(placed.select(place.alias("place")), MARKS))
     texts = texts.select(F.col("doc_id").alias("t_id"), "text", F.col("digest").alias("t_digest"))
@@ -348,9 +350,11 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     outer = block_links(asked.union(asking), False, percent)
     all_links = written(inner.union(outer), "links")
     reached = components(all_links)
-    component = nodes.select("node", "doc_id").join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = component.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_node = component.join(least, "component").select(F.col("node").alias("set"), "component", "least")
+    named = nodes.select("node", "doc_id").join(reached, "node", "left")
+    linked = named.where("component is not null")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_node = spread(linked, "node", least, "component").select(F.col("node").alias("set"), "component", "least")
+    of_node = of_node.unionByName(named.where("component is null").select(F.col("node").alias("set"), F.col("node").alias("component"), F.col("doc_id").alias("least")))
     return own.drop("sig").join(of_node, own.node == of_node.set, "left").drop("set")
 
 
