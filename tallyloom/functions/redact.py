@@ -17,10 +17,22 @@ PATTERNS = (
 )
 
 
+#: What every match of a pattern has; texts without it are spared the pattern.
+NEEDED = {"email": "@", "social": "://", "po_box": "(?i)box"}
+
+
+def _if_needed(text: Column, name: str, new: Column) -> Column:
+    need = NEEDED.get(name)
+    if need is None:
+        return new
+    has = text.rlike(need) if need.startswith("(?i)") else text.contains(need)
+    return F.when(has, new).otherwise(text)
+
+
 def placeholders(text: Column, patterns=PATTERNS) -> Column:
     """Each match as [name]."""
     for name, pattern in patterns:
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+        text = _if_needed(text, name, F.regexp_replace(text, pattern, f"[{name}]"))
     return text
 
 
@@ -37,10 +49,9 @@ def for_living(text: Column, is_living: Column, patterns=PATTERNS) -> Column:
 
 
 def names_scrubbed(text: Column, names: list[str], phrase: str = "a private person") -> Column:
-    """names: a parameter list of the withheld; the longest go first."""
-    for name in sorted(names, key=len, reverse=True):
-        text = F.replace(text, F.lit(name), F.lit(phrase))
-    return text
+    """names: a parameter list of the withheld, as one pattern in which longer names go first."""
+    known = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
+    return F.regexp_replace(text, "|".join("\\Q" + n.replace("\\E", "") + "\\E" for n in known), phrase) if known else text
 
 
 def counts(text: Column, patterns=PATTERNS) -> list[Column]:

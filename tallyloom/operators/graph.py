@@ -56,6 +56,12 @@ def siblings(parents: DataFrame, least: int = 2) -> DataFrame:
     return x.join(y, "all").where("a < b").select("a", "b")
 
 
+def sibling_groups(parents: DataFrame, least: int = 2) -> DataFrame:
+    """(group, child): children with the same parents, at least so many, under the hash of these; a row for each child, however large the group."""
+    sets = parents.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("all")).where(F.size("all") >= least)
+    return sets.select(F.sha2(F.array_join(F.transform("all", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("group"), "child")
+
+
 def over_cap(parents: DataFrame, most: int = 2) -> DataFrame:
     return parents.groupBy("child").agg(F.count_distinct("parent").alias("n_parents")).where(F.col("n_parents") > most)
 

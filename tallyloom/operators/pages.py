@@ -68,8 +68,12 @@ def withheld_leaks(pages: DataFrame, key: str, html: str, is_profile: Column, wi
     """
     names = withheld.select(F.col(name).alias("name")).distinct().where((F.size(F.split(F.trim("name"), r"\s+")) >= least_words) & (F.length("name") >= least_chars))
     names = names.withColumn("_word", F.split(F.lower(F.trim("name")), r"[^\p{L}]+")[0])
-    rows = pages.where(~F.col(html).rlike(NOINDEX)).select(F.col(key).alias(key), is_profile.alias("_profile"), F.lower(visible(F.col(html))).alias("_text"), F.lower(visible(anchor_texts(F.col(html)))).alias("_anchors"))
-    rows = rows.withColumn("_word", F.explode(F.array_distinct(F.split("_text", r"[^\p{L}]+")))).join(names, "_word")
+    open_ = pages.where(~F.col(html).rlike(NOINDEX))
+    word = F.explode(F.array_distinct(F.split(F.lower(visible(F.col(html))), r"[^\p{L}]+")))
+    asked = open_.select(F.col(key).alias("_key"), word.alias("_word")).join(names, "_word").select("_key", "name").distinct()
+    # only pages that have a first word meet the names again, this time whole
+    rows = open_.select(F.col(key).alias(key), is_profile.alias("_profile"), F.lower(visible(F.col(html))).alias("_text"), F.lower(visible(anchor_texts(F.col(html)))).alias("_anchors"))
+    rows = rows.join(asked, rows[key] == asked["_key"])
     rows = rows.where(F.contains("_text", F.lower("name"))).select(key, "name", F.contains("_anchors", F.lower("name")).alias("linked"), "_profile")
     return rows.where("linked or not _profile").drop("_profile")
 

@@ -48,6 +48,13 @@ def derived_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.siblings(rows, 2)
 
 
+@query("select sha256(l || ',' || h) as \"group\", child from (select c_custkey as child, least(c_custkey // 3, c_nationkey % 4 - 10)::varchar as l, greatest(c_custkey // 3, c_nationkey % 4 - 10)::varchar as h from customer where c_custkey > 2)")
+def sibling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").where("c_custkey > 2").select(k.alias("child"), F.explode(F.array(F.floor(k / 3).cast("long"), (F.col("c_nationkey") % 4 - 10).cast("long"))).alias("parent"))
+    return G.sibling_groups(rows, 2)
+
+
 @query("select l_orderkey as child, count(distinct l_suppkey)::bigint as n_parents from lineitem group by 1 having count(distinct l_suppkey) > 2")
 def too_many_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.over_cap(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("child"), F.col("l_suppkey").alias("parent")), 2)

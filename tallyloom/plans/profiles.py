@@ -73,11 +73,14 @@ def slug_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.slug_shape(table(spark, sf_dir, "part").select(F.array(name).alias("a"), F.array("p_brand").alias("b")), ["a", "b"])
 
 
-@query("select p_partkey as ref_id, p_name as ref, s.slug from part join (select p_name as n, min(p_partkey) as slug from part group by 1 having count(*) = 1) s on n = p_name where not regexp_matches(p_name, '^[a-z0-9]+(?:-[a-z0-9]+)*$')")
+NAME = "p_name || ' ' || p_brand || ' ' || (p_size % 8)"
+
+
+@query(f"with r as (select p_partkey, {NAME} as name from part), o as (select name, min(p_partkey) as slug from r group by 1 having count(*) = 1) select p_partkey as ref_id, name as ref, slug from r join o using (name) where not regexp_matches(name, '^[a-z0-9]+(?:-[a-z0-9]+)*$')")
 def linkable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    one = part.groupBy("p_name").agg(F.min("p_partkey").alias("slug"), F.count("*").alias("n")).where("n = 1")
-    return P.linkable(part.select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("ref")), part.join(one, "p_name").select(F.col("p_partkey").alias("ref_id"), "slug"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(NAME).alias("name"))
+    one = part.groupBy("name").agg(F.min("p_partkey").alias("slug"), F.count("*").alias("n")).where("n = 1")
+    return P.linkable(part.select(F.col("p_partkey").alias("ref_id"), F.col("name").alias("ref")), part.join(one, "name").select(F.col("p_partkey").alias("ref_id"), "slug"))
 
 
 @query("select o_custkey, count(distinct o_orderkey % 5)::int as n from orders group by 1")

@@ -33,12 +33,15 @@ def body_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.body_links(part.select("p_partkey", F.expr(LINKS).alias("text")), "p_partkey", "text", titles, ["^image"])
 
 
-@query("select p_partkey as cell, min_key as slug from part join (select p_name as n, min(p_partkey) as min_key from part group by 1 having count(*) = 1) on n = p_name where p_partkey % 3 > 0")
+NAME = "p_name || ' ' || p_brand || ' ' || (p_size % 8)"
+
+
+@query(f"with r as (select p_partkey, {NAME} as name from part), o as (select name, min(p_partkey) as slug from r group by 1 having count(*) = 1) select p_partkey as cell, slug from r join o using (name) where p_partkey % 3 > 0")
 def unlinked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    one = part.groupBy("p_name").agg(F.min("p_partkey").alias("slug"), F.count("*").alias("n"))
-    matches = part.join(one, "p_name").select(F.col("p_partkey").alias("cell"), "slug", F.when(F.col("n") == 1, "match").otherwise("ambiguous").alias("verdict"))
-    cells = part.select(F.col("p_partkey").alias("cell"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("[["), "p_name", F.lit("]]"))).otherwise(F.col("p_name")).alias("text"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(NAME).alias("name"))
+    one = part.groupBy("name").agg(F.min("p_partkey").alias("slug"), F.count("*").alias("n"))
+    matches = part.join(one, "name").select(F.col("p_partkey").alias("cell"), "slug", F.when(F.col("n") == 1, "match").otherwise("ambiguous").alias("verdict"))
+    cells = part.select(F.col("p_partkey").alias("cell"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("[["), "name", F.lit("]]"))).otherwise(F.col("name")).alias("text"))
     return S.unlinked_cells(cells, matches)
 
 
