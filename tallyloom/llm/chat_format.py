@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 256
+#: Tasks that share the turns of one conversation in a join.
+SALTS = 8
 BEGIN, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What texts must not contain as it stands: first the escape itself, then what opens a control string.
 ESCAPES = (("%", "%25"), ("<|", "%3C|"), ("[INST]", "%5BINST]"), ("[/INST]", "%5B/INST]"), ("<s>", "%3Cs>"), ("</s>", "%3C/s>"), ("<<SYS>>", "%3C%3CSYS>>"), ("<</SYS>>", "%3C%3C/SYS>>"))
@@ -69,8 +71,11 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     # a turn without words counts as one token, so that a window has no more turns than tokens
     turns = turns.withColumn("tokens", F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long"))
     systems = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("role", "text", "tokens"), F.struct("turn", "role", "text")).alias("s"))
+    # a long conversation's turns are dealt over SALTS tasks, its system turn is copied for each
+    systems = systems.select(F.col("conv_id").alias("of"), "s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    salt = F.pmod(F.hash("turn", "text"), F.lit(SALTS))
     room = F.greatest(F.lit(2), F.floor((F.lit(budget - history_tokens) - F.coalesce("s.tokens", F.lit(0))) / 2))
-    turns = turns.join(systems.select(F.col("conv_id").alias("of"), "s"), F.col("conv_id").eqNullSafe(F.col("of")), "left").withColumn("room", room).drop("of", "s")
+    turns = turns.join(systems, F.col("conv_id").eqNullSafe(F.col("of")) & (salt == F.col("of_salt")), "left").withColumn("room", room).drop("of", "s", "of_salt")
     turns = turns.withColumn("is_long", (F.col("tokens") > F.col("room")).cast("long"))
     placed = prefix_sums(turns)
     # a long turn, the short ones between two long ones, and among these each half budget, make a window
