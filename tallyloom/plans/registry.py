@@ -28,5 +28,16 @@ class Registry(dict):
         return add
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of long texts that is smaller than a split for each core, and lies in fewer files than there are cores, is dealt to all of them; larger ones have splits enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(df._jdf.inputFiles()) < cores:
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split:
+            return df.repartition(cores)
+    return df
