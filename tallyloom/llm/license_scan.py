@@ -260,7 +260,9 @@ def matches(rows: list[tuple[int, int, int, str]], known: Book) -> list[tuple[st
 def license_scan(docs: DataFrame, sentences: dict[str, str] = ALL_SENTENCES, rules=RULES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_sentences (known ones), found: an array of (license, start, end) in characters, end exclusive.
 
-    Null and empty texts have none. Rows that repeat a doc_id, or have none,
+    Null and empty texts have none. Of rules that match at one sentence the one
+    with most sentences wins, and of equal ones the first in the book; of equal
+    sentences in the book the first counts. Rows that repeat a doc_id, or have none,
     are scanned each by itself; an empty table gives an empty result; further
     columns aren't looked at.
     """

@@ -366,17 +366,16 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     one stays. Texts without words (null, empty) are duplicates only of
     rows with the same doc_id and text. An empty table gives an empty result.
     """
-    found = clusters(docs, percent)
-    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    first = found.where("node is not null").groupBy("component").agg(F.min(name).alias("first"))
-    gone = found.where("node is not null").join(first, "component").where(~name.eqNullSafe(F.col("first"))).select("doc_id", "digest").distinct()
-    again = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
-
     def named(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
         others = others.toDF("_of_id", "_of_digest")
         return rows.join(others, rows["doc_id"].cast("long").eqNullSafe(others["_of_id"]) & digest_of().eqNullSafe(others["_of_digest"]), how)
 
     with released(docs.sparkSession):
+        found = clusters(docs, percent)
+        name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+        first = found.where("node is not null").groupBy("component").agg(F.min(name).alias("first"))
+        gone = spread(found.where("node is not null"), "node", first, "component").where(~name.eqNullSafe(F.col("first"))).select("doc_id", "digest").distinct()
+        again = found.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
         gone, again = written(gone, "gone", kept=True), written(again, "repeated", kept=True)
     left = without(docs, gone)
     if again.isEmpty():

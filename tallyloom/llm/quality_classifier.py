@@ -166,7 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
     Null texts count as empty, and all texts get a score from 0 to 1; only the
-    text decides about it. Labels are learnt as fit() says; null or other
+    text decides about it, so that equal texts score alike. Labels are learnt as fit() says; null or other
     labels are left out, repeated ones count each time. Without any label to
     learn from, every score is 0.5. A null doc_id is held out from nothing
     (held_out is null) and learns nothing. Further columns aren't looked at.

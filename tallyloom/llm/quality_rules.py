@@ -177,7 +177,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataF
     runs of other than white space; lines are split at line feeds. Rows that
     repeat a doc_id are judged each by itself; an empty table gives an empty
     result; further columns aren't looked at. rules: in the order in which they
-    run; measured on a sample unless given.
+    run; measured on a sample unless given, rules that tie in the order of RULES.
     """
     order = list(rules) if rules is not None else measured_order(docs)
 

@@ -353,3 +353,11 @@ def test_turns_without_words_fill_windows(spark):
     rows = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "") for i in range(3000)], "conv_id long, turn long, role string, text string")
     found = chat_format.windows(rows, budget=100, history_tokens=20)
     assert found.agg(F.max("n_new")).first()[0] <= 100 and chat_format.read_back(found).first().n_turns == 3000
+
+
+def test_conversations_with_further_columns(spark):
+    rows = [(1, 1, "system", "Be kind.", 5, "x"), (1, 2, "user", "hello there", 6, "y"), (1, 3, "assistant", "good day " * 400, 7, "z"), (None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens int, slot string")
+    plain = table.select("conv_id", "turn", "role", "text")
+    found = lambda t: sorted(map(str, chat_format.read_back(chat_format.windows(t)).collect()))
+    assert found(table) == found(plain) and len(found(table)) == 2
