@@ -322,8 +322,29 @@ def _scan(chunks: DataFrame, pieces) -> DataFrame:
     return own.join(entries, ["row", "run"]).repartition("row", "run").sortWithinPartitions("row", "run", "chunk").mapInArrow(chunk_entries, "row string, chunk long, entry binary")
 
 
-def _traced(chunks: DataFrame, entries: DataFrame, pieces) -> DataFrame:
-    """(row, doc_id, chunk, ids, text) of every chunk."""
+def _between(encoder: Encoder, text: str, after: str) -> dict:
+    """Of a chunk's merges: head, the text before its first cut, ids of what lies between its first and its last cut, and tail, the text after that; without any cut it is all head, and ids are null."""
+    codes = np.array([ord(c) for c in text + after[:1]], dtype=np.int64)
+    cut = np.flatnonzero(encoder.pieces.cuts(codes)) + 1 if len(codes) > 1 else np.zeros(0, dtype=np.int64)
+    if not len(cut):
+        return {"head": text, "ids": None, "tail": ""}
+    a, b = int(cut[0]), int(cut[-1])
+    return {"head": text[:a], "ids": encoder.encode([text[a:b]])[0].astype("<u4").tobytes(), "tail": text[b:]}
+
+
+def _assembled(encoder: Encoder, parts: list[dict]) -> bytes:
+    """The ids of a text from what _between gave for its chunks, in order; what lies across borders is merged here."""
+    out, held = b"", ""
+    for p in parts:
+        held += p["head"]
+        if p["ids"] is not None:
+            out += encoder.encode([held])[0].astype("<u4").tobytes() + p["ids"]
+            held = p["tail"]
+    return out + encoder.encode([held])[0].astype("<u4").tobytes()
+
+
+def _traced(chunks: DataFrame, entries: DataFrame, pieces, merges=None) -> DataFrame:
+    """(row, chunk, ids, merged) of every chunk; merged is what _between gives with the encoder that merges() makes, or null."""
     n = pieces.value.longest
 
     def solved(r: dict) -> tuple[list[int], list[int]]:
@@ -355,12 +376,15 @@ def _traced(chunks: DataFrame, entries: DataFrame, pieces) -> DataFrame:
             for r in rows:
                 ids, _ = pieces.value.trace(escape(r["text"]), escape(r["look"]), solved(r)[1], len(r["text"]) + r["leaves"])
                 out.append(np.array(ids, dtype="<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(x)) for x in ("row", "chunk")] + [pa.array(out, pa.binary())], ["row", "chunk", "ids"])
+            plain = lambda x: x.replace(" ", SPACE)
+            merged = [_between(merges(), plain(r["text"]), plain(r["look"])) if merges else None for r in rows]
+            kind = pa.struct([("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string())])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(x)) for x in ("row", "chunk")] + [pa.array(out, pa.binary()), pa.array(merged, kind)], ["row", "chunk", "ids", "merged"])
 
     both = written(chunks.join(entries, ["row", "chunk"]), "entries")
     back = both.mapInArrow(traces, "row string, chunk long, back array<int>")
     leaves = back.repartition("row").sortWithinPartitions("row", F.col("chunk").desc()).select("row", "chunk", "back").mapInArrow(exits, "row string, chunk long, leaves int")
-    return both.join(leaves, ["row", "chunk"]).mapInArrow(emit, "row string, chunk long, ids binary")
+    return both.join(leaves, ["row", "chunk"]).mapInArrow(emit, "row string, chunk long, ids binary, merged struct<head:string,ids:binary,tail:string>")
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text", library: bool = False) -> DataFrame:
@@ -377,8 +401,11 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     names = ["doc_id", "text", "ids", "decoded", *(["library_ids"] if library else [])]
     schema = "doc_id long, text string, ids binary, decoded string" + (", library_ids binary" if library else "")
 
+    def merges() -> Encoder:
+        return K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged"))
+
     def merged(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array(_library(K.per_worker(("merges", mark), lambda: Encoder(pieces.value, "merged")), texts), pa.binary())] if library else []
+        return [pa.array(_library(merges(), texts), pa.binary())] if library else []
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.per_worker(("pieces", mark), lambda: Encoder(pieces.value))
@@ -405,15 +432,17 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
     if giants.isEmpty():
         return short
     chunks = written(giants.mapInArrow(split, "row string, chunk long, text string, look string").repartition("row", "chunk"), "chunks")
-    ids = _traced(chunks, _scan(chunks, pieces), pieces)
+    ids = _traced(chunks, _scan(chunks, pieces), pieces, merges if library else None)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = b"".join(x["ids"] for x in sorted(r["parts"], key=lambda x: x["chunk"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([r["text"]], pa.string()), pa.array([ids], pa.binary()), pa.array([pieces.value.decode(np.frombuffer(ids, dtype="<u4"))], pa.string()), *merged(pa.array([r["text"]], pa.string()))], names)
+                parts = sorted(r["parts"], key=lambda x: x["chunk"])
+                ids = b"".join(x["ids"] for x in parts)
+                own = [pa.array([_assembled(merges(), [x["merged"] for x in parts])], pa.binary())] if library else []
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([r["text"]], pa.string()), pa.array([ids], pa.binary()), pa.array([pieces.value.decode(np.frombuffer(ids, dtype="<u4"))], pa.string()), *own], names)
 
-    parts = ids.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts"))
+    parts = ids.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids", "merged")).alias("parts"))
     return short.union(giants.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(joined, schema))
 
 
