@@ -326,8 +326,8 @@ def _clusters(docs: DataFrame, percent: int) -> DataFrame:
     cluster = votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("cluster"))
     placed = cluster.join(nodes, "node")
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    # only clusters of several blocks are looked up, so that a large one's members aren't dealt by cluster
-    placed = placed.join(sizes.where("parts > 1"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # only clusters of several blocks are looked up, in a table of known size, so that a large one's members aren't dealt by cluster
+    placed = placed.join(written(sizes.where("parts > 1"), "sizes"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = written(placed.withColumn("block", F.xxhash64("cluster", F.pmod("node", "parts"))).select("node", "doc_id", "digest", "sig", "block"), "placed")
     place = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
     texts = among(identified(docs).withColumn("place", place), "place", bitmap(placed.select(place.alias("place")), MARKS))
