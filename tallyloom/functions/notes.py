@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Words of a relation's label and the kind that they stand for.
+#: Words of a relation's label and the kind that they stand for.
 FOLDED_TYPES = {"son": "child", "daughter": "child", "children": "child", "father": "parent", "mother": "parent", "husband": "spouse", "wife": "spouse", "brother": "sibling", "sister": "sibling"}
 IMAGE = r"!\[\[([^\]|\n]+)(?:\|([^\]\n]*))?\]\](?:[ \t]*\n[*_]([^*_\n]+)[*_][ \t]*(?:\n|$))?"
 #: Patterns of references to records, and kinds of sources in the order in which they are named.

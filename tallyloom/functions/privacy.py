@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import notes as N
 from . import text as T
 
-#: Patterns that deletion takes out, in order; streets only of the living.
+#: Patterns that deletion takes out, in order; streets only of the living.
 MAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 MOBILE = r"(?:\+?61[ .-]?)?0?4[ .-]?[0-9]{2}[ .-]?[0-9]{3}[ .-]?[0-9]{3}\b"
 LANDLINE = r"(?:\+?61[ .-]?)?0[23578][ .-]?[0-9]{4}[ .-]?[0-9]{4}\b"
@@ -16,7 +16,7 @@ HEALTH_ID = r"\b[2-6][0-9]{3} ?[0-9]{5} ?[0-9]\b"
 PO_BOX = r"(?i)(?:PO|Post Office) *Box +[0-9]+"
 STREET = r"\b[0-9]{1,4} [A-Z][A-Za-z']+(?: [A-Z][A-Za-z']+)* (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Crescent|Cres|Highway|Hwy|Close|Way)\b"
 LABELS = r"(?i)^\s*(?:- )?\*\*(?:Email|Phone|Mobile|Telephone|Fax|Contact|Address|(?:Postal|Street|Residential) Address):\*\*[`()\s,;:]*$"
-#: Headings that stand for themselves, and those that a dash and more may follow.
+#: Headings that stand for themselves, those that a dash and more may follow, labels of private lines, and platforms.
 KEPT_HEADINGS = r"(?i)^(?:family|families|relationships?|photos?|gallery|media|(?:marriage|divorce)(?: certificate)?(?:\s*[—–:-].*)?|(?:baptism|christening|wedding)(?:\s*[—–:-].*)?)\s*$"
 FIELDS = r"(?i)^\s*(?:- )?(?:\*\*\s*)?(?:residence|resides|lives?|lived|location|(?:postal )?address|education|school|college|occupation|employer|workplace|health|nickname|contact|phone|mobile|e-?mail|website|facebook|instagram|linkedin|twitter)\b[^:|]*:"
 MINOR_LINES = r"(?i)^\s*(?:[-*+] )?\*\*\s*(?:school|college|occupation|job|work|employer|workplace|residence|resides|lives|address)\b|\b(?:attends|studies|works)\b.*\b(?:school|college|university)\b"

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 
-#: References that stand for nobody.
+#: References that stand for nobody.
 PLACEHOLDERS = ("", "?", "???", "none", "none (never married)", "unknown")
-#: Words that are no names.
+#: Words that are no names.
 TITLES = ("of", "the", "né", "née", "mrs", "mr", "dr")
-#: The largest gap of a birth that is near a stated one; ages at which people marry.
+#: The largest gap of a birth that is near a stated one; ages at which people marry.
 NEAR, MARRY_FROM, MARRY_TO = 2, 12, 70
-#: Limits of the choice among namesakes: a parent is so much older, a spouse within the first gap or else the second.
+#: Limits of the choice among namesakes: a parent is so much older, a spouse within the first gap or else the second.
 PARENT_LEAST, SPOUSE_NEAR, SPOUSE_FAR = 12, 30, 50
 RULES = ("slug", "qualified", "lifespan", "birth_year", "near_birth_year", "annotation", "name", "stated_year", "best", "first_last")
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .gates import issues, united
 
+#: The shape of a slug, words and marks of doubt, categories of references in order (the first pattern that matches decides), and the least length of a text.
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 DOUBT = r"(?i)\b(?:unknown|likely|probably|possibly|suspected|uncertain|unconfirmed|believed|presumably|approx|approximately|unclear|maybe|not sure|no record|not known)\b|\b[0-9]{3,4}\?|\bc\. ?[0-9]{3,4}\b|~ ?[0-9]{3,4}\b|\best[.:]? ?[0-9]{3,4}\b"
-#: Categories of references in order: the first pattern that matches decides.
 CATEGORIES = (("name_with_years", r"\([0-9]{4}.*?\)"), ("year_prefix", r"^[0-9]{4}[^0-9]"), ("marriage_date", r"\(m\. "), ("nee_format", r"\(née"), ("adoptive", r"\(adopt"), ("deceased", r"\(deceased"), ("parenthetical", r"\([0-9](?:st|nd|rd|th)"), ("mangled_slug", r"^[a-z].*-"), ("unknown", r"^\?"), ("metadata_suffix", r" \((?:brother|sister|first marriage|all with)"))
 BIO_LEAST = 15
 
