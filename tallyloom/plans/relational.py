@@ -239,10 +239,12 @@ def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select date_trunc('month', o_orderdate) as month, avg(o_totalprice) as mean, count(*)::bigint as n, list(o_orderkey order by o_totalprice desc, o_orderkey)[1:10] as top from orders group by 1""")
 def monthly_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.date_trunc("month", "o_orderdate")
-    orders = table(spark, sf_dir, "orders").withColumn("month", month)
-    n = F.row_number().over(W.partitionBy("month").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    top = orders.withColumn("n", n).where("n <= 10").groupBy("month").agg(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))).alias("t")).select("month", F.transform("t", lambda x: x.o_orderkey).alias("top"))
+    """Means and counts of a month, and its ten highest rows, which are among the ten highest of a day each."""
+    orders = table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("month"), F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderkey")
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    few = orders.withColumn("n", F.row_number().over(W.partitionBy("month", "day").orderBy(*order))).where("n <= 10")
+    top = few.withColumn("n", F.row_number().over(W.partitionBy("month").orderBy(*order))).where("n <= 10")
+    top = top.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))).alias("t")).select("month", F.transform("t", lambda x: x.o_orderkey).alias("top"))
     return orders.groupBy("month").agg(F.avg("o_totalprice").alias("mean"), F.count("*").alias("n")).join(top, "month")
 
 
