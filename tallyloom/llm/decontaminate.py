@@ -35,6 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW, SLACK = 13, 1
 #: Positions that are left free between documents, more than a window and its slack.
 GAP = 64
+#: Bytes of text in a segment.
+SEGMENT_BYTES = 4 << 20
 #: Windows of a block, about: 104 bytes each, which every task holds.
 BLOCK = 1 << 16
 SEGMENT = "segment long, doc_ids array<long>, digests array<binary>, starts binary, terms binary, counts binary, positions binary"
@@ -48,7 +50,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         hasher, number = K.Hasher("alnum", lower=True), TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = K.column(b.column(1))
-            for lo, hi in K.spans(offsets):
+            for lo, hi in K.spans(offsets, SEGMENT_BYTES):
                 _, _, h, first = hasher.words(data, offsets[lo : hi + 1])
                 starts = first + GAP * (1 + np.arange(len(first)))
                 position = (np.arange(len(h)) + GAP * (1 + K.text_of_words(first))).astype(np.uint32)

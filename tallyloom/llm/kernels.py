@@ -19,8 +19,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 U64 = np.uint64
-#: Bytes of text that are hashed at a time.
-SLICE = 1 << 20
+#: Bytes of text that are hashed at a time: what goes with them then fits a core's cache, and a worker's memory stays small.
+SLICE = 1 << 18
 #: Words of more bytes are hashed by xxh3: over so few, no two words cancel out in the polynomial as long ones can that repeat a pattern.
 SHORT = 48
 

@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES, RIDGE, BINS, THRESHOLD = 192, 1e-2, 1024, 0.3
 #: Bytes of text whose statistics are taken at a time.
-SPAN = 2 * K.SLICE
+SPAN = 4 * K.SLICE
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray, hashers: dict[str, K.Hasher]) -> np.ndarray:

@@ -412,7 +412,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, column: str = "text"
         own = encoder.pieces
         for b in batches:
             _, offsets = K.column(b.column(1))
-            for lo, hi in K.spans(offsets, K.SLICE):
+            for lo, hi in K.spans(offsets, 2 * K.SLICE):
                 texts = [x or "" for x in b.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = encoder.encode([escape(" " + x) if x else "" for x in texts])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.string()), *merged(b.column(1).slice(lo, hi - lo))], names)
@@ -466,7 +466,7 @@ def library_ids(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
 def _library(encoder: Encoder, texts: pa.Array) -> list[bytes]:
     _, offsets = K.column(texts)
     out = []
-    for lo, hi in K.spans(offsets, K.SLICE):
+    for lo, hi in K.spans(offsets, 2 * K.SLICE):
         ids = encoder.encode([(" " + x).replace(" ", SPACE) if x else "" for x in texts.slice(lo, hi - lo).to_pylist()])
         out += [x.astype("<u4").tobytes() for x in ids]
     return out
