@@ -191,11 +191,16 @@ def dated_by_default(rows: DataFrame, key: str, lastmod: str) -> DataFrame:
 
 
 def generation_by_indent(trees: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(key, name, generation): the depth of the first line of a tree that shows a name; two blanks, or a tab, are a step. Lines and names meet on a name's first word."""
+    """(key, name, generation): the depth of the first line of a tree that shows a name; two blanks, or a tab, are a step.
+
+    Lines and names meet on a name's first word. Spark takes lines and words for
+    as large as the trees that they are split from, and would broadcast them
+    through the driver, so that the join is always a sorted one.
+    """
     rows = trees.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
     indent = F.regexp_replace(F.regexp_extract("_line", r"^([ \t]*)", 1), "\t", "  ")
     rows = rows.select(key, "_at", "_line", F.floor(F.length(indent) / 2).cast("int").alias("_depth"))
     word = F.explode(F.array_distinct(F.split(F.lower("_line"), r"[^\p{L}\p{N}]+")))
     asked = names.select(F.col(name).alias(name), F.split(F.lower(F.trim(name)), r"[^\p{L}\p{N}]+")[0].alias("_word")).distinct()
-    hits = rows.withColumn("_word", word).join(asked, "_word").where(F.contains(F.lower("_line"), F.lower(name)))
+    hits = rows.withColumn("_word", word).hint("merge").join(asked, "_word").where(F.contains(F.lower("_line"), F.lower(name)))
     return hits.groupBy(key, name).agg((F.min_by("_depth", "_at") + 1).alias("generation"))
