@@ -112,29 +112,38 @@ def file_matches(people: DataFrame, files: DataFrame) -> DataFrame:
     file's name goes on after the person's; surname_swap: all but the last word
     agree; bracket: given names agree and a bracket holds the surname;
     extra_name: first and last agree, one name more or less, years don't clash.
+
+    Persons don't meet files but keys, each with the number of its files and one
+    of them, so that names that many share make no pairs. The one file of several
+    keys is one that all of them have alone.
     """
     name = F.lower(F.trim(F.regexp_replace(F.regexp_replace("file", r"(?i)\.md$", ""), r"\s*\([^)]*\)\s*$", "")))
-    f = files.select("file", name.alias("f_name"), F.nullif(F.regexp_extract("file", r"\(([0-9]{3,4})[–-]", 1), F.lit("")).alias("f_year"), F.lower(F.concat_ws(" ", F.regexp_extract_all("file", F.lit(r"\(([^)]*)\)"), F.lit(1)))).alias("bracket"))
-    f = f.withColumn("f_words", F.split("f_name", " "))
-    p = people.select("slug", F.col("birth").cast("string").alias("year"), F.explode(title_keys(F.col("title"))).alias("key")).withColumn("words", F.split("key", " "))
-    main = people.select("slug", F.col("birth").cast("string").alias("year"), F.get(title_keys(F.col("title")), F.lit(0)).alias("key")).withColumn("words", F.split("key", " "))
-    ends = lambda w: F.concat_ws("|", F.get(w, F.lit(0)), F.element_at(w, -1))
-    given = lambda w: F.array_join(F.slice(w, 1, F.size(w) - 1), " ")
-    same = p.join(f, p.key == f.f_name).select("slug", "file", "year", "f_year")
-    exact = same.select("slug", "file", F.lit("exact").alias("how"))
-    exact_year = same.where("year = f_year").select("slug", "file", F.lit("exact_year").alias("how"))
-    triple = p.where("year is not null").join(f, (ends(p.words) == ends(f.f_words)) & (p.year == f.f_year)).select("slug", "file", F.lit("first_last_year").alias("how"))
-    heads = f.select("file", "f_words", F.explode(F.sequence(F.lit(1), F.size("f_words"))).alias("n")).where("n < size(f_words)").select("file", F.array_join(F.slice("f_words", 1, F.col("n")), " ").alias("head"))
-    prefix = main.join(heads, main.key == heads["head"]).select("slug", "file", F.lit("prefix").alias("how"))
-    alike = main.where("size(words) > 1").withColumn("given", given(F.col("words"))).join(f.withColumn("f_given", given(F.col("f_words"))).where("size(f_words) > 1"), F.col("given") == F.col("f_given"))
-    swap = alike.where("key <> f_name").select("slug", "file", F.lit("surname_swap").alias("how"))
-    bracket = alike.where(F.array_contains(F.split("bracket", r"[^\p{L}]+"), F.element_at("words", -1))).select("slug", "file", F.lit("bracket").alias("how"))
-    extra = main.join(f, ends(main.words) == ends(f.f_words)).where("abs(size(words) - size(f_words)) = 1 and coalesce(year = f_year, true)").select("slug", "file", F.lit("extra_name").alias("how"))
+    f = files.select("file").where("file is not null").distinct()
+    f = f.select("file", name.alias("name"), F.nullif(F.regexp_extract("file", r"\(([0-9]{3,4})[–-]", 1), F.lit("")).alias("year"), F.lower(F.concat_ws(" ", F.regexp_extract_all("file", F.lit(r"\(([^)]*)\)"), F.lit(1)))).alias("bracket"))
+    f = f.withColumn("words", F.split("name", " "))
+    p = people.select("slug", F.col("birth").cast("string").alias("year"), F.posexplode(title_keys(F.col("title"))).alias("at", "name")).withColumn("words", F.split("name", " "))
+    main, several, dated = F.col("at") == 0, F.size("words") > 1, F.col("year").isNotNull()
+    first, last, given = F.get("words", F.lit(0)), F.element_at("words", -1), F.array_join(F.slice("words", 1, F.size("words") - 1), " ")
+    ask = lambda how, *parts: F.struct(F.lit(how).alias("how"), F.array(*parts).alias("key"))
+    some = lambda when, asks: F.when(when, asks).otherwise(F.array().cast("array<struct<how:string,key:array<string>>>"))
+    extra = lambda more, year: ask("extra_name", first, last, (F.size("words") + more).cast("string"), year)
+    year, no_year, any_year = F.concat(F.lit("="), "year"), F.lit("-"), F.lit("*")
+    alike, alike_year = F.array(ask("exact", "name")), some(dated, F.array(ask("exact_year", "name", "year"), ask("first_last_year", first, last, "year")))
+    heads = F.transform(F.slice(F.sequence(F.lit(1), F.size("words")), 1, F.size("words") - 1), lambda n: ask("prefix", F.array_join(F.slice("words", F.lit(1), n), " ")))
+    held = F.transform(F.array_distinct(F.split("bracket", r"[^\p{L}]+")), lambda t: ask("bracket", given, t))
+    shown = f.select("file", F.inline(F.concat(alike, alike_year, heads, some(several, held), F.array(extra(0, F.coalesce(year, no_year)), extra(0, any_year)))))
+    shown = shown.groupBy("how", "key").agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    own = F.concat(some(main, F.array(ask("prefix", "name"))), some(main & several, F.array(ask("bracket", given, last))), some(main & ~dated, F.array(extra(-1, any_year), extra(1, any_year))), some(main & dated, F.array(*[extra(i, y) for i in (-1, 1) for y in (year, no_year)])))
+    # Sorted joins: Spark doesn't know how much explode() adds and might broadcast all keys.
+    found = p.select("slug", F.inline(F.concat(alike, alike_year, own))).hint("merge").join(shown, ["how", "key"]).select("slug", "how", "n", "file")
+    # Of the files with a given name all but those of the person's own name: if one is left, the given name has two names at most. As arrays the given names of files are dealt anew, and Spark can split the persons of one.
+    names = f.where(several).groupBy(given.alias("given"), "name").agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    names = names.groupBy("given").agg(F.sum("n").alias("n"), F.min(F.struct("name", "n", "file")).alias("lo"), F.max(F.struct("name", "n", "file")).alias("hi")).select(F.array("given").alias("key"), "n", "lo", "hi")
+    swap = p.where(main & several).select("slug", "name", F.array(given).alias("key")).hint("merge").join(names, "key")
+    minus = F.when(F.col("name") == F.col("lo.name"), F.col("lo.n")).when(F.col("name") == F.col("hi.name"), F.col("hi.n")).otherwise(0)
+    swap = swap.select("slug", F.lit("surname_swap").alias("how"), (F.col("n") - minus).alias("n"), F.when(F.col("name") == F.col("lo.name"), F.col("hi.file")).otherwise(F.col("lo.file")).alias("file")).where("n > 0")
     order = ["exact", "exact_year", "first_last_year", "prefix", "surname_swap", "bracket", "extra_name"]
-    found = exact
-    for part in (exact_year, triple, prefix, swap, bracket, extra):
-        found = found.unionByName(part)
-    by = found.groupBy("slug", "how").agg(F.count_distinct("file").alias("n"), F.min("file").alias("file")).where("n = 1")
+    by = found.unionByName(swap).groupBy("slug", "how").agg(F.max("n").alias("n"), F.min("file").alias("file"), F.max("file").alias("other")).where("n = 1 and file = other")
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("how"))
     best = by.groupBy("slug").agg(F.min(F.struct(rank.alias("r"), "how", "file")).alias("b"))
     return best.select("slug", F.col("b.file").alias("file"), F.col("b.how").alias("how"))
